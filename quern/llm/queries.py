@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import table
+from .answers import broken_pairs, defect_rates
+from .leaks import leaked_items, leaked_passages, without_leaks
+from .mixing import mix_shares, mix_sources
+from .spam import spam_pages
 from .splitting import split_chunks
 
 
@@ -20,9 +23,54 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(table(spark, sf_dir, "qa_pairs"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "qa_pairs")
+    return defect_rates(pairs, broken_pairs(pairs))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_leaks(spark, sf_dir))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir)).select("doc_id")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p6_clean": p6_clean,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }
 
 ORACLE_SQL: dict[str, str] = {

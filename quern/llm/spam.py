@@ -26,14 +26,15 @@ _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)|<a\b[^>]*>(.*?)</a>|<?(?:https?
 _TAG = re.compile(r"<[^<>\n]{0,200}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CJK = re.compile(r"[㐀-鿿]")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|[。！？]|\n+|(?<=\|)")
+_SENTENCE = re.compile(r"[.!?][ \t]+|[\n|。！？]+")
+_ASCII_WORD = re.compile(r"[a-z']+")
 _SEPARATOR = re.compile(r"[|,;•·»★/#>\n]| - ")
-_CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:import|package|use|from|def|class|return|const|let|var|func|fn|pub|#include|#define|//|/?\*)\b|^\s*(?:#include|#define|//|/\*|\*)|\)\s*[{:]\s*$")
+_CODE_LINE = re.compile(r"[;{}][ \t]*$|^[ \t]*(?:import|package|use|from|def|class|return|const|let|var|func|fn|pub|#include|#define)\b", re.M)
 
 
 def features(text: str) -> tuple:
-    """Everything that a text page is judged by; see spam_features."""
-    plain = _FENCE.sub("\n", text)
+    """Everything that a page is judged by; see spam_features."""
+    plain = _FENCE.sub("\n", text) if "```" in text or "~~~" in text else text
     link_words = n_links = link_chars = 0
 
     def drop(m: re.Match) -> str:
@@ -43,51 +44,64 @@ def features(text: str) -> tuple:
         link_words += len(_WORD.findall(m[1] or m[2] or ""))
         return " \x01 "
 
-    plain = _TAG.sub(" ", _LINK.sub(drop, plain))
-    plain = _INLINE.sub(" x ", plain)
+    if "](" in plain or "://" in plain or "www." in plain or "<" in plain:
+        plain = _TAG.sub(" ", _LINK.sub(drop, plain))
+    n_lines = plain.count("\n") + 1
+    code = len(_CODE_LINE.findall(plain)) / n_lines
+    if "`" in plain:
+        plain = _INLINE.sub(" x ", plain)
     low = plain.lower()
-    words = _WORD.findall(low)
-    cjk = _CJK.findall(low)
-    words = [w for w in words if not _CJK.match(w)] if cjk else words
-    n_plain = len(words) + len(cjk) // 2
+    ascii_only = low.isascii()
+    find = (_ASCII_WORD if ascii_only else _WORD).findall
+    wide = not ascii_only and _CJK.search(low) is not None
+    sentences = []
+    words: list[str] = []
+    n_cjk = zh = 0
+    for s in _SENTENCE.split(low):
+        c = _CJK.findall(s) if wide else ()
+        ws = find(_CJK.sub(" ", s) if c else s)
+        if c:
+            n_cjk += len(c)
+            z = sum(map(_ZH.__contains__, c)) / 2
+            zh += z
+            sentences.append((ws, len(ws) + len(c) // 2, z))
+        elif ws:
+            sentences.append((ws, len(ws), 0.0))
+        words += ws
+    n_plain = len(words) + n_cjk // 2
     n = n_plain + link_words + n_links
-    votes = {lang: sum(map(known.__contains__, words)) for lang, known in _WORDS_OF.items()}
-    zh = sum(map(_ZH.__contains__, cjk)) / 2
+    counts = Counter(words)
+    known = {w: k for w, k in counts.items() if w in _ANY}
+    votes = {lang: sum(k for w, k in known.items() if w in ws) for lang, ws in _WORDS_OF.items()}
     lang = max(votes, key=votes.get)
-    lang = "zh" if len(cjk) > len(words) or zh > votes[lang] else lang if votes[lang] else None
-    function = sum(map(_ANY.__contains__, words)) + zh
-    content = Counter(w for w in words if w not in _ANY)
-    pairs = Counter(zip(words, words[1:]))
-    top_word = max(content.values(), default=0) / max(1, n_plain)
-    top_pair = max(pairs.values(), default=0) / max(1, n_plain)
-    frequent = {w for w, k in content.most_common(6) if k >= 4}
+    lang = "zh" if n_cjk > len(words) or zh > votes[lang] else lang if votes[lang] else None
+    content = [(k, w) for w, k in counts.items() if k >= 4 and w not in known]
+    content.sort(reverse=True)
+    frequent = frozenset(w for _, w in content[:6])
+    top_word = content[0][0] if content else 1
+    top_pair = max(Counter(zip(words, words[1:])).values(), default=0)
     prose = n_prose = 0
-    for sentence in _SENTENCE.split(low):
-        c = _CJK.findall(sentence)
-        ws = _WORD.findall(sentence)
-        if c:
-            ws = [w for w in ws if not _CJK.match(w)]
-        size = len(ws) + len(c) // 2
+    for ws, size, z in sentences:
         if size < 4:
             continue
-        f = sum(map(_ANY.__contains__, ws)) + sum(map(_ZH.__contains__, c)) / 2
+        f = sum(map(_ANY.__contains__, ws)) + z
         if f >= max(1, 0.12 * size) and sum(map(frequent.__contains__, ws)) < 0.34 * size:
             prose += size
             n_prose += 1
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
     return (
         lang,
         n,
         n_links,
-        function / max(1, n_plain),
-        top_word,
-        top_pair,
+        (sum(known.values()) + zh) / max(1, n_plain),
+        top_word / max(1, n_plain),
+        top_pair / max(1, n_plain),
         1 - len(set(lines)) / max(1, len(lines)),
         link_chars / max(1, len(text)),
         len(_SEPARATOR.findall(plain)) / max(1, n),
         prose / max(1, n),
         n_prose,
-        sum(1 for x in lines if _CODE_LINE.search(x)) / max(1, len(lines)),
+        code,
     )
 
 
@@ -112,6 +126,7 @@ def spam_pages(
     min_words: int = 12,
     prose_share: float = 0.2,
     sentences: int = 1,
+    stray_prose: float = 0.08,
     function_part: float = 0.5,
     pair_times: float = 3.0,
     code_lines: float = 0.25,
@@ -120,8 +135,8 @@ def spam_pages(
 
     Thresholds are calibrated per language on all documents: the medians of the function-word share and of the top
     pair's share of each voted language (five languages and 'none' at most, so the table of medians is broadcast).
-    A page is spam when at most `sentences` plain sentences hold at most `prose_share` of its words, it isn't source
-    code, and it shows what fills it instead: function words are missing (under `function_part` of the language's
+    A page is spam when at most `sentences` plain sentences hold at most `prose_share` of its words (or any number of
+    them at most `stray_prose`: keywords can look like sentences), it isn't source code, and it shows what fills it instead: function words are missing (under `function_part` of the language's
     median), or a pair of words fills the page (over `pair_times` the median), or lines repeat, or links do. reason is
     'links', 'tags' or 'keywords'. Null, empty and very short texts are never spam. Repeated texts each count.
     """
@@ -144,8 +159,7 @@ def spam_pages(
     linked = (F.col("link_share") > 0.4) | (F.col("n_links") > 0.3 * F.col("n_words"))
     spam = (
         (F.col("n_words") >= min_words)
-        & (F.col("n_prose") <= sentences)
-        & (F.col("prose_share") <= prose_share)
+        & (F.col("prose_share") <= F.when(F.col("n_prose") <= sentences, prose_share).otherwise(stray_prose))
         & (F.col("code_lines") < code_lines)
         & (missing | stuffed | linked | (F.col("duplicate_lines") > 0.3))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .answers import broken_pairs, defect_rates
+from .documented import documented_functions
 from .leaks import leaked_items, leaked_passages, without_leaks
 from .mixing import mix_shares, mix_sources
 from .spam import spam_pages
@@ -23,6 +24,14 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(table(spark, sf_dir, "chunks")).select("seq", "function_name").distinct()
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(table(spark, sf_dir, "chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs(table(spark, sf_dir, "qa_pairs"))
 
@@ -63,6 +72,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,

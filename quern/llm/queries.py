@@ -13,6 +13,7 @@ from .leaks import leaked_items, leaked_passages, without_leaks
 from .mixing import mix_shares, mix_sources
 from .spam import spam_pages
 from .splitting import split_chunks
+from .unparsable import parsed_files, unparsable_rates
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,14 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed_files(table(spark, sf_dir, "files")).where("not parses").select("repo_name", "repo_path")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unparsable_rates(parsed_files(table(spark, sf_dir, "files")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs(table(spark, sf_dir, "qa_pairs"))
 
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_found": p6_found,

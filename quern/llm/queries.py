@@ -11,6 +11,7 @@ from .answers import broken_pairs, defect_rates
 from .documented import documented_functions
 from .leaks import leaked_items, leaked_passages, without_leaks
 from .mixing import mix_shares, mix_sources
+from .provenance import foreign_files
 from .spam import spam_pages
 from .splitting import split_chunks
 from .unparsable import parsed_files, unparsable_rates
@@ -25,6 +26,14 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files(table(spark, sf_dir, "files")).select("repo_name", "repo_path")
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files(table(spark, sf_dir, "files")).groupBy("repo_name", "reason").count().withColumnRenamed("count", "n_files")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(table(spark, sf_dir, "chunks")).select("seq", "function_name").distinct()
 
@@ -81,6 +90,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_reasons": p2_reasons,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,

@@ -16,7 +16,7 @@ from .operators.current_rows import symmetric_difference
 from .oracles import ORACLE_SQL
 from .plans.answering import ask
 from .plans.hybrid import hybrid_topk as hybrid
-from .session import table
+from .session import spread, table
 from .streaming.incremental import event_windows as windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "documents").select("doc_id", "text"))
+
+
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").dropDuplicates(["seq"])
 
@@ -63,17 +67,17 @@ def file_state(s, d):
 
 @query
 def doc_tokens(s, d):
-    return table(s, d, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"), F.coalesce(F.size(lexical_tokens(F.col("text"))), F.lit(0)).alias("n_lexical"))
+    return _documents(s, d).select("doc_id", token_count(F.col("text")).alias("n_tokens"), F.coalesce(F.size(lexical_tokens(F.col("text"))), F.lit(0)).alias("n_lexical"))
 
 
 @query
 def term_stats(s, d):
-    return lexical.term_stats(table(s, d, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
+    return lexical.term_stats(_documents(s, d), "doc_id", "text").withColumn("idf", F.round("idf", 6))
 
 
 @query
 def bm25_topk(s, d):
-    return lexical.top_k(lexical.bm25_scores(table(s, d, "documents"), _questions(s, d)), 10).withColumn("score", F.round("score", 6))
+    return lexical.top_k(lexical.bm25_scores(_documents(s, d), _questions(s, d)), 10).withColumn("score", F.round("score", 6))
 
 
 def _vectors(s, d):
@@ -103,8 +107,7 @@ def knn_ivf(s, d):
 
 @query
 def hybrid_topk(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text")
-    return hybrid(docs, _questions(s, d)).withColumn("score", F.round("score", 9))
+    return hybrid(_documents(s, d), _questions(s, d)).withColumn("score", F.round("score", 9))
 
 
 @query

@@ -30,7 +30,7 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 def term_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(term, df, cf, n_docs, idf); a negative idf becomes EPSILON times the mean idf of all terms."""
-    per_doc = docs.select(F.explode(F.array_distinct(F.transform(lexical_tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: t))).alias("term"))
+    per_doc = docs.select(F.explode(F.array_distinct(lexical_tokens(F.col(text)))).alias("term"))
     df = per_doc.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n_docs"))
     raw = df.crossJoin(F.broadcast(total)).withColumn("raw_idf", idf(F.col("n_docs"), F.col("df")))

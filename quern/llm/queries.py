@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import spread, table
 from .answers import broken_pairs, defect_rates
 from .documented import documented_functions
 from .leaks import leaked_items, leaked_passages, without_leaks
@@ -17,13 +17,17 @@ from .splitting import split_chunks
 from .unparsable import parsed_files, unparsable_rates
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oversized chunks: those that the splitter cuts into pieces."""
-    return split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits")).where("piece_no = 0").select("seq")
+    return split_chunks(spread(table(spark, sf_dir, "chunks")), table(spark, sf_dir, "split_limits")).where("piece_no = 0").select("seq")
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
+    return split_chunks(spread(table(spark, sf_dir, "chunks")), table(spark, sf_dir, "split_limits"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return broken_pairs(table(spark, sf_dir, "qa_pairs"))
+    return broken_pairs(spread(table(spark, sf_dir, "qa_pairs")))
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,7 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked_passages(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +76,11 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir)).select("doc_id")
+    return without_leaks(_documents(spark, sf_dir), _leaks(spark, sf_dir)).select("doc_id")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +88,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+    return spam_pages(_documents(spark, sf_dir)).select("doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

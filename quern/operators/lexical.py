@@ -14,7 +14,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf). Null texts have no postings; the counts are combined before the shuffle."""
-    terms = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(lexical_tokens(F.col(text))).alias("term"))
+    # the filters that joins would infer stand here, so that every reader of the postings has the same plan below
+    known = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    terms = known.select(F.col(doc_id).alias("doc_id"), F.explode(lexical_tokens(F.col(text))).alias("term")).where("term is not null")
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -28,10 +30,14 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
 
 
-def term_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(term, df, cf, n_docs, idf); a negative idf becomes EPSILON times the mean idf of all terms."""
-    per_doc = docs.select(F.explode(F.array_distinct(lexical_tokens(F.col(text)))).alias("term"))
-    df = per_doc.groupBy("term").agg(F.count("*").alias("df"))
+def term_stats(docs: DataFrame, doc_id: str, text: str, post: DataFrame | None = None) -> DataFrame:
+    """(term, df, n_docs, idf); a negative idf becomes EPSILON times the mean idf of all terms.
+
+    All statistics of a corpus read the same postings, so Spark makes their exchange once and reuses it.
+    """
+    post = postings(docs, doc_id, text) if post is None else post
+    # the sum keeps tf in this branch: with other columns the exchange would be another one
+    df = post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("cf > 0")
     total = docs.agg(F.count("*").alias("n_docs"))
     raw = df.crossJoin(F.broadcast(total)).withColumn("raw_idf", idf(F.col("n_docs"), F.col("df")))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
@@ -39,31 +45,24 @@ def term_stats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", "n_docs", floor.alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: str = "text", max_questions: int = 100_000) -> DataFrame:
+def bm25_scores(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: str = "text", max_questions: int = 100_000, post: DataFrame | None = None) -> DataFrame:
     """(question_id, doc_id, score) for all documents with a positive score.
 
     questions: (question_id, question). The distinct question terms with their weights are broadcast while there are at
-    most `max_questions` questions; documents are exploded to the question terms only, so the shuffle is keyed by
-    document and holds no other term. A term counts as often as the question repeats it.
+    most `max_questions` questions; only postings of those terms meet them. A term counts as often as the question
+    repeats it. `post` may be a stored postings table; without it the postings are made here.
     """
+    post = postings(docs, doc_id, text) if post is None else post
     asked = questions.select("question_id", F.explode(lexical_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
-    weights = asked.join(term_stats(docs, doc_id, text), "term").groupBy("term").agg(
+    weights = asked.join(term_stats(docs, doc_id, text, post), "term").groupBy("term").agg(
         F.collect_list(F.struct("question_id", (F.col("qtf") * F.col("idf")).alias("w"))).alias("asks")
     )
-    small = questions.limit(max_questions + 1).count() <= max_questions
-    weights = F.broadcast(weights) if small else weights
-    lengths = docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("terms")).withColumn("dl", F.coalesce(F.size("terms"), F.lit(0)))
-    average = lengths.agg(F.avg("dl").alias("avgdl"))
-    hits = (
-        lengths.where("terms is not null")
-        .select("doc_id", "dl", F.explode("terms").alias("term"))
-        .join(weights.select("term"), "term", "left_semi")
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-        .join(weights, "term")
-        .crossJoin(F.broadcast(average))
-    )
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if questions.limit(max_questions + 1).count() <= max_questions:
+        weights = F.broadcast(weights)
+    lengths = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    total = lengths.agg(F.sum("dl").alias("all_terms")).crossJoin(docs.agg(F.count("*").alias("n")))
+    hits = post.join(weights, "term").select("doc_id", "tf", "asks").join(lengths, "doc_id").crossJoin(F.broadcast(total))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("all_terms") / F.col("n"))))
     return (
         hits.select("doc_id", gain.alias("gain"), F.explode("asks").alias("ask"))
         .groupBy(F.col("ask.question_id").alias("question_id"), "doc_id")

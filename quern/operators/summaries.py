@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parent_dir, short_hash, token_count
+from ..session import ensure_checkpoint_dir
 from .packing import chunk_priority, pack_skip
 
 Provider = Callable[[str], str]
@@ -80,8 +81,10 @@ def summarize(chunks: DataFrame, provider: Provider = extractive, file_budget: i
     A folder is summarised from the files directly in it, the project from its top folders (those without '/'), or
     from all folders where there is none.
     """
-    files = _finish(complete(file_prompts(chunks, file_budget), provider), "file")
-    folders = _roll_up(files, "directory", provider, folder_budget, parent_dir(F.col("path")))
+    ensure_checkpoint_dir(chunks.sparkSession)
+    # each level is kept before the next reads it: a provider is asked once per summary
+    files = _finish(complete(file_prompts(chunks, file_budget), provider), "file").checkpoint()
+    folders = _roll_up(files, "directory", provider, folder_budget, parent_dir(F.col("path"))).checkpoint()
     tops = folders.withColumn("is_top", ~F.contains(F.col("path"), F.lit("/")))
     any_top = tops.groupBy("repo_name").agg(F.max("is_top").alias("any_top"))
     chosen = tops.join(any_top, "repo_name").where("is_top or not any_top")

@@ -31,13 +31,14 @@ def hybrid_topk(
     routed = route(asked, "question_type").select("question_id", "question", "semantic_k", "bm25_k", "doc_type_filter", "semantic_weight", "bm25_weight")
     depth = 15
     lists = []
+    post = postings(docs, "doc_id", "text")
     if use_semantic:
-        dv = hashed_vectors(postings(docs, "doc_id", "text")) if doc_vectors is None else doc_vectors
+        dv = hashed_vectors(post) if doc_vectors is None else doc_vectors
         qv = hashed_vectors(postings(questions, "question_id", "question")).withColumnRenamed("doc_id", "question_id") if question_vectors is None else question_vectors
         near = cosine_topk(dv, qv, depth)
         lists.append(near.join(F.broadcast(routed), "question_id").where("rank <= semantic_k").select("question_id", F.lit(1).alias("list_no"), "rank", "doc_id", F.col("semantic_weight").alias("weight"), "doc_type_filter"))
     if use_bm25:
-        lexical = top_k(bm25_scores(docs, questions), depth)
+        lexical = top_k(bm25_scores(docs, questions, post=post), depth)
         lists.append(lexical.join(F.broadcast(routed), "question_id").where("rank <= bm25_k").select("question_id", F.lit(2).alias("list_no"), "rank", "doc_id", F.col("bm25_weight").alias("weight"), "doc_type_filter"))
     ranked = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     if doc_types is not None:

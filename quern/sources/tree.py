@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ def _by_path():
 
 
 def _lenient_utf8(content):
-    import pandas as pd
-
     def decode(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="replace"))
 

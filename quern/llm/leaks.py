@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HITS = "row_id bigint, item_id bigint, first_word int, last_word int, n_words int, n_equal int"
-_ESCAPE = re.compile(r"\\[nrt](?![a-z]{0,2}[\\/:])|</?[a-zA-Z!][^<>\n]{0,200}>|&#?\w{1,8};|\\(?=\W)|[*_~`]{1,3}(?=\w)|(?<=\w)[*~`]{1,3}")
+_ESCAPE = re.compile(r"\\[nrt]|</?[a-zA-Z!][^<>\n]{0,200}>|&#?\w{1,8};|\\(?=\W)|[*_~`]{1,3}(?=\w)|(?<=\w)[*~`]{1,3}")
 _STRIP = re.compile(r"[\W_]+")
 
 

@@ -205,8 +205,9 @@ def mix_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum(F.col("tokens") * F.col("repeats")).alias("reached_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats")
     )
     all_tokens = used.agg(F.sum("reached_tokens").alias("all_tokens"))
+    wanted = targets.select(F.lower(F.trim("source_name")).alias("source_name"), "target_share", "max_repeats")
     return (
-        targets.join(used, "source_name", "left")
+        wanted.join(used, "source_name", "left")
         .crossJoin(F.broadcast(all_tokens))
         .select(
             "source_name",

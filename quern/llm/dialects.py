@@ -14,7 +14,7 @@ _NUMBER = r"(?:0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?|0[bBoO][0-7_]+|\.?\d(?:[\d_]
 _COMMENTS = r"/\*[\s\S]*?\*/|//[^\n]*"
 
 LEXERS = {
-    "python": r"""[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
+    "python": r"""(?:[fFtT][rR]?|[rR][fFtT])(?:"(?!"")(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*')|[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
     r"|\#[^\n]*|\\\r?\n[ \t]*|\n[ \t\f]*|[^\W\d]\w*|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)[jJ]?(?![^\W\d])|:=|->|\.\.\.|\*\*=|//=|>>=|<<=|[-+*/%&|^@]=|==|!=|<=|>=|\*\*|//|<<|>>|[^\s]",
     "javascript": _COMMENTS
     + r"|(?:=>|&&|\|\||[=!]==?|[(,=:\[!&|?;{}+]|\breturn\b|\bcase\b|\btypeof\b)\s*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
@@ -83,7 +83,7 @@ Stmt = Simple (';' Simple)* ';'? 'NL' | Compound
 Body = ':' (Simple (';' Simple)* ';'? 'NL' | 'NL' <:Suite:>)
 Compound = 'if' Ex Body ('elif' Ex Body)* ('else' Body)? | 'while' Ex Body ('else' Body)? | 'async'? 'for' Targets 'in' List Body ('else' Body)?
  | 'try' Body (Except+ ('else' Body)? ('finally' Body)? | 'finally' Body) | 'async'? 'with' (With (',' With)* | (:Withs:)) Body
- | Deco* 'async'? 'def' Id [:Subs:]? (:Params:) ('->' List)? Body | Deco* 'class' Id [:Subs:]? (:Args:)? Body | 'match' List ':' 'NL' <:Cases:>
+ | Deco* 'async'? 'def' Id [:TypeParams:]? (:Params:) ('->' List)? Body | Deco* 'class' Id [:TypeParams:]? (:Args:)? Body | 'match' List ':' 'NL' <:Cases:>
 Except = 'except' '*'? (List ('as' Id)?)? Body
 With = Ex ('as' Un)?
 Withs = With (',' With)* ','?
@@ -93,7 +93,7 @@ Pats = Pat (',' Pat)* ','?
 Pat = '*'? Or ('as' Id)?
 Simple = Stars ('=' (Stars | Yield))* | Un ':' Ex ('=' (Stars | Yield))? | Un 'asg' (Stars | Yield) | Yield | 'pass' | 'break' | 'continue' | 'del' Targets | 'return' Stars?
  | 'raise' (Ex ('from' Ex)?)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | 'from' ('.'* Dotted | '.'+) 'import' ('*' | (:Names:) | Name (',' Name)*)
- | 'global' Id (',' Id)* | 'nonlocal' Id (',' Id)* | 'assert' Ex (',' Ex)? | 'type' Id [:Subs:]? '=' Ex
+ | 'global' Id (',' Id)* | 'nonlocal' Id (',' Id)* | 'assert' Ex (',' Ex)? | 'type' Id [:TypeParams:]? '=' Ex
 Dotted = Id ('.' Id)*
 Name = Id ('as' Id)?
 Names = Name (',' Name)* ','?
@@ -119,6 +119,8 @@ Arg = Id '=' Ex | '*' Ex | '**' Ex | Ex For*
 Params = (DParam (',' DParam)* ','?)?
 DParam = ('*' | '**')? Id (':' Star)? ('=' Ex)? | '*' | '/'
 Param = ('*' | '**')? Id ('=' Ex)? | '*' | '/'
+TypeParams = TypeParam (',' TypeParam)* ','?
+TypeParam = ('*' | '**')? Id (':' Ex)? ('=' Star)?
 Subs = Sub (',' Sub)* ','?
 Sub = Ex? ':' Ex? (':' Ex?)? | Star
 """
@@ -370,7 +372,8 @@ _C = """
 File = Ext*
 Ext = ';' | Specs? Declr FnTail* BODY | Decl | 'extern' 's' ({:File:} | Ext) | 'asm' 'q'* (:Any:) ';' EXTS
 Attr = [:Attrs:] | 'i' (:Any:)
-Specs = 'q'* Core ('q' | 'ty')* | 'q'+
+Specs = Q* Core (Q | 'ty')* | Q+
+Q = 'q' | 'extern'
 Core = 'ty' | Path | ('struct' | 'union') Attr? Path? ({:Fields:})? | 'enum' Path? ({:Enums:})? CORES
 Declr = ('*' | 'q' PTRS)* (Path | (:Declr:)) Suffix*
 Suffix = (:Params:) | [:Size:]
@@ -592,8 +595,10 @@ class Dialect:
     def _cut(self, s: str) -> list[str]:
         out, a = [], 0
         groups, carry = self.grammar.groups, self.carry_on
-        ends = (self.semicolon, "\n")
+        ends = ("\n",) if self.name == "python" else (self.semicolon, "\n")
         n = len(s)
+        # Go's headers hold semicolons: there, a statement with one ends behind its block only
+        heads = {self.classes[x] for x in ("if", "for", "switch")} if self.name == "go" else frozenset()
         at = self.classes.get("@", "\0") if self.name == "python" else "\0"
         line = 0
         for i, c in enumerate(s):
@@ -602,6 +607,8 @@ class Dialect:
                 decorator, line = s[line] == at, i + 1
                 if decorator:
                     continue
+                if heads and not (s[i - 1] in groups and any(k == "{" for k, _ in groups[s[i - 1]])) and not heads.isdisjoint(s[a:i]):
+                    continue
                 after = s[i + 1] if i + 1 < n else ""
                 if after and (after in carry or after in groups):
                     continue
@@ -720,6 +727,8 @@ class _Classes(dict):
     def _of(self, t: str) -> str:
         c, name = t[0], self.dialect.name
         python = name == "python"
+        if python and t == "...":
+            return "i"
         if t.startswith(("//", "/*")) and not python and len(t) > 1:
             return ""
         if c == "#" and len(t) > 1 and name in ("c", "cpp") or c == "#" and python:

@@ -39,7 +39,8 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_functions(table(spark, sf_dir, "chunks")).select("seq", "function_name").distinct()
+    """Only names are asked for, so the pairs' code is not built."""
+    return documented_functions(table(spark, sf_dir, "chunks"), with_code=False).select("seq", "function_name").distinct()
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.languages import file_type
 from .functions.text import lexical_tokens, short_hash, token_count
-from .operators import chunking, citations, evaluation, fusion, imports, lexical, mining, packing, summaries, vectors
+from .operators import chunking, citations, evaluation, fusion, imports, index, lexical, mining, packing, summaries, validation, vectors
 from .operators.current import current_files
 from .operators.current_rows import symmetric_difference
 from .oracles import ORACLE_SQL
@@ -290,3 +290,47 @@ def hierarchical_summaries(s, d):
 @query
 def answered_questions(s, d):
     return ask(table(s, d, "chunks"), _questions(s, d))
+
+
+@query
+def index_rows(s, d):
+    """The export form of the chunk rows of the index: first of each id, sentinels for nulls."""
+    rows = index.with_sentinels(index.chunk_rows(table(s, d, "chunks")))
+    return rows.select("repo_name", "id", "seq", "doc_type", "chunk_type", "file_path", "language", "start_line", "end_line", "symbol_name", "summary_level")
+
+
+@query
+def built_index(s, d):
+    """Chunks and summaries with hashed vectors, by kind."""
+    chunks = table(s, d, "chunks")
+    rows = index.build_index(chunks, summaries.summarize(chunks))
+    return rows.groupBy("repo_name", "doc_type").agg(F.count("*").alias("n"), F.count_if(F.col("embedding").isNotNull()).alias("n_embedded"))
+
+
+@query
+def summary_checks(s, d):
+    chunks = table(s, d, "chunks")
+    return validation.pass_rates(validation.level_checks(summaries.summarize(chunks), validation.source_texts(chunks)))
+
+
+@query
+def gold_coverage(s, d):
+    place = lambda g: F.regexp_extract("c", r"^(.*?)(?::(\d+)(?:-(\d+))?)?$", g)
+    refs = _pairs(s, d).where("size(reference_contexts) > 0").select(F.col("id").alias("qid"), "repo_name", F.explode("reference_contexts").alias("c"))
+    lo = F.nullif(place(2), F.lit("")).cast("int")
+    gold = refs.select("qid", "repo_name", place(1).alias("path"), lo.alias("lo"), F.coalesce(F.nullif(place(3), F.lit("")).cast("int"), lo).alias("hi"))
+    return validation.gold_coverage(gold, table(s, d, "chunks"))
+
+
+@query
+def retrieval_modes(s, d):
+    """Keyword recall of the texts that each retrieval mode finds for the stated queries."""
+    docs, asked = _documents(s, d), _questions(s, d)
+    modes = {"hybrid": {}, "semantic": {"use_bm25": False}, "bm25": {"use_semantic": False}}
+    found = None
+    for name, flags in modes.items():
+        hits = hybrid(docs, asked, 8, **flags).select(F.lit(name).alias("mode"), "question_id", "doc_id")
+        found = hits if found is None else found.unionByName(hits)
+    texts = found.join(docs, "doc_id").groupBy("mode", "question_id").agg(F.array_join(F.collect_list("text"), "\n").alias("corpus"))
+    words = asked.select("question_id", evaluation.reference_keywords(F.col("question")).alias("kw"))
+    return texts.join(words, "question_id").select("mode", "question_id", F.round(evaluation.keyword_recall(F.col("kw"), F.col("corpus")), 9).alias("recall"))

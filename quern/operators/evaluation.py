@@ -63,19 +63,30 @@ def judge_aggregate(runs: DataFrame, by: str) -> DataFrame:
     return flat.groupBy(by).agg(F.count("*").alias("n_runs"), *[c for d in dims for c in mean_std(d)])
 
 
-def error_bucket(error: Column, n_chunks: Column, gold_hit: Column, n_citations: Column, n_verified: Column, type_correct: Column) -> Column:
-    """The first failure that applies to an answered question, else 'clean_pass'."""
+def error_bucket(recall: Column, n_citations: Column, type_correct: Column, gold_hit: Column, citation_accuracy: Column, judge_accuracy: Column, least_judge: float = 6.0) -> Column:
+    """The first failure that applies to an answered question, else 'clean_pass'. Missing measurements don't fail."""
     return (
-        F.when(error.isNotNull(), "error")
-        .when(F.coalesce(n_chunks, F.lit(0)) == 0, "empty_context")
-        .when(~F.coalesce(type_correct, F.lit(False)), "wrong_routing")
-        .when(~F.coalesce(gold_hit, F.lit(False)), "retrieval_miss")
-        .when((n_citations > 0) & (n_verified == 0), "cited_wrong_path")
-        .when(n_verified < n_citations, "unverified_citation")
+        F.when(F.coalesce(recall, F.lit(0.0)) == 0, "retrieval_miss")
+        .when(F.coalesce(n_citations, F.lit(0)) == 0, "empty_context")
+        .when(~F.coalesce(type_correct, F.lit(True)), "wrong_routing")
+        .when(~F.coalesce(gold_hit, F.lit(False)), "cited_wrong_path")
+        .when(F.coalesce(citation_accuracy, F.lit(1.0)) == 0, "unverified_citation")
+        .when(F.coalesce(judge_accuracy, F.lit(10.0)) < least_judge, "low_judge_quality")
         .otherwise("clean_pass")
     )
 
 
+def retrieval_verdict(hybrid: Column, semantic: Column, lexical: Column) -> Column:
+    """How fusion compares with the better single list."""
+    best = F.greatest(semantic, lexical)
+    return F.when(hybrid > best, "better").when(hybrid == best, "equal").otherwise("worse")
+
+
+def finding(delta: Column, large: float = 0.3, noticeable: float = 0.05) -> Column:
+    """What a difference of a mean to the base configuration amounts to."""
+    return F.when(delta > large, "validated").when(F.abs(delta) > noticeable, "noticeable").otherwise("marginal")
+
+
 def extract_identifiers(text: Column) -> Column:
     """Identifiers a summary names: back-quoted terms without blanks and calls name(), 3 letters at least, sorted."""
     quoted = F.transform(F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1)), lambda x: F.btrim(x, F.lit(".,:;")))

@@ -197,4 +197,19 @@ ORACLE_SQL: dict[str, str] = {
         select repo_name, folder, count(*) n_files, sum(n)::bigint n_tokens from a group by 1, 2""",
     "largest_chunks": f"""with {_CHUNKS} select chunk_type, seq, n, rank from (select chunk_type, seq, len(regexp_extract_all(content, '{TOKEN}')) n,
         row_number() over (partition by chunk_type order by len(regexp_extract_all(content, '{TOKEN}')) desc, seq) rank from one_chunks where content is not null) where rank <= 5""",
+    "index_rows": f"""with {_CHUNKS} select repo_name, id, seq, 'chunk' doc_type, coalesce(chunk_type, '') chunk_type, repo_path file_path, coalesce(language, '') as language, coalesce(start_line, -1) start_line,
+        coalesce(end_line, -1) end_line, coalesce(symbol_name, '') symbol_name, '' summary_level from one_chunks""",
+    "gold_coverage": rf"""with {_PAIRS}, {_CHUNKS},
+        r as (select id qid, repo_name, unnest(reference_contexts) c from pairs where len(reference_contexts) > 0),
+        g as (select qid, repo_name, regexp_extract(c, '^(.*?)(?::(\d+)(?:-(\d+))?)?$', 1) path, nullif(regexp_extract(c, '^(.*?)(?::(\d+)(?:-(\d+))?)?$', 2), '')::int lo, nullif(regexp_extract(c, '^(.*?)(?::(\d+)(?:-(\d+))?)?$', 3), '')::int hi from r)
+        select qid, count(distinct path) n_paths, count(distinct case when seq is not null then path end) n_indexed,
+            count(distinct case when lo is null or not (end_line < lo or start_line > coalesce(hi, lo)) then seq end) n_chunks
+        from g left join (select repo_name, repo_path path, seq, start_line, end_line from one_chunks) h using (repo_name, path) group by 1""",
+    "retrieval_modes": f"""with {_BM25}, {_SEMANTIC},
+        fused_one as (select question_id, list_no, doc_id, row_number() over (partition by question_id, list_no order by rank, doc_id) rank from ranked),
+        hits as (select 'hybrid' as mode, question_id, doc_id from final where rank <= 8
+            union all select case list_no when 1 then 'semantic' else 'bm25' end, question_id, doc_id from fused_one where rank <= 8),
+        corpora as (select mode, question_id, lower(string_agg(text, chr(10))) corpus from hits join documents using (doc_id) group by 1, 2),
+        k as (select question_id, {_KEYWORDS} kw from (select question_id, question answer from q))
+        select mode, question_id, round(case when len(kw) > 0 then len(list_filter(kw, lambda x: contains(corpus, x))) / len(kw) else 0 end, 9) recall from corpora join k using (question_id)""",
 }

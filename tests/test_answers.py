@@ -68,8 +68,9 @@ def test_tables(spark):
     assert p == {"a": (2.0, 0.0), "b": (0.0, 5.0)}
     d = {r["c"]: r["delta"] for r in config_deltas(rows.groupBy("c").agg(F.avg("v").alias("v")), "c", "a", "v").collect()}
     assert d == {"a": 0.0, "b": -3.0}
-    e = spark.createDataFrame([("boom", 1, True, 1, 1, True), (None, 0, True, 1, 1, True), (None, 3, True, 2, 1, True), (None, 3, True, 0, 0, True)], "error string, n int, g boolean, c int, v int, t boolean")
-    assert [r[0] for r in e.select(error_bucket(*[F.col(x) for x in ("error", "n", "g", "c", "v", "t")])).collect()] == ["error", "empty_context", "unverified_citation", "clean_pass"]
+    e = spark.createDataFrame([(0.0, 1, True, True, 1.0, 9.0), (0.5, 0, True, True, 1.0, 9.0), (0.5, 1, False, True, 1.0, 9.0), (0.5, 1, True, False, 1.0, 9.0), (0.5, 1, True, True, 0.0, 9.0), (0.5, 1, True, True, 1.0, 5.9), (0.5, 1, None, True, None, None)], "r double, n int, t boolean, g boolean, c double, j double")
+    got = [r[0] for r in e.select(error_bucket(*[F.col(x) for x in ("r", "n", "t", "g", "c", "j")])).collect()]
+    assert got == ["retrieval_miss", "empty_context", "wrong_routing", "cited_wrong_path", "unverified_citation", "low_judge_quality", "clean_pass"]
     i = spark.range(1).select(extract_identifiers(F.lit("`parse_it` calls run() and `a b` or `xy`"))).first()[0]
     assert i == ["parse_it", "run()"]
 

@@ -180,8 +180,9 @@ def _sized(s, d):
 
 @query
 def pack_prefix(s, d):
-    kept = packing.pack_prefix(_sized(s, d).select("repo_name", "seq", "n"), ["repo_name"], ["seq"], "n", 4000)
-    return kept.groupBy("repo_name").agg(F.count("*").alias("n_chunks"), F.max("used").alias("used"))
+    by = ["repo_name", "repo_path"]
+    kept = packing.pack_prefix(_sized(s, d).select(*by, "seq", "n"), by, ["seq"], "n", 800)
+    return kept.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.max("used").alias("used"))
 
 
 @query

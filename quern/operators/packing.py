@@ -13,7 +13,8 @@ CHUNK_PRIORITY = ("function", "class", "module", "config", "prose")
 
 
 def pack_prefix(rows: DataFrame, by: list[str], order: list[str], tokens: str, budget: int) -> DataFrame:
-    """Rows in order until the first that does not fit; adds used (running sum). A first row over the budget is kept alone."""
+    """Rows in order until the first that does not fit; adds used (running sum). A first row over the budget is kept alone.
+    A group is sorted in one task: group by question or file, not by repository."""
     w = W.partitionBy(*by).orderBy(*order)
     run = rows.withColumn("used", F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
     return run.where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")

@@ -154,9 +154,9 @@ ORACLE_SQL: dict[str, str] = {
         sum(len(regexp_extract_all(content, '{TOKEN}')))::bigint n_tokens from one_chunks group by grouping sets ((chunk_type), (coalesce(nullif(language, ''), 'none')), ())""",
     "chunk_ids": f"with {_CHUNKS} select repo_name, count(*) n_chunks, count_if(substr(sha256(repo_path || ':' || start_line), 1, 16) = id) n_equal, count(distinct id) n_ids from one_chunks group by 1",
     "first_last_by_id": "select id, min(seq) first_seq, max(seq) last_seq from chunks group by 1 having min(seq) <> max(seq)",
-    "pack_prefix": f"""with {_CHUNKS}, n as (select repo_name, seq, len(regexp_extract_all(content, '{TOKEN}')) n from one_chunks where content is not null),
-        r as (select *, sum(n) over w used, row_number() over w k from n window w as (partition by repo_name order by seq))
-        select repo_name, count(*) n_chunks, max(used)::bigint used from r where used <= 4000 or k = 1 group by 1""",
+    "pack_prefix": f"""with {_CHUNKS}, n as (select repo_name, repo_path, seq, len(regexp_extract_all(content, '{TOKEN}')) n from one_chunks where content is not null),
+        r as (select *, sum(n) over w used, row_number() over w k from n window w as (partition by repo_name, repo_path order by seq))
+        select repo_name, repo_path, count(*) n_chunks, max(used)::bigint used from r where used <= 800 or k = 1 group by 1, 2""",
     "pack_skip": f"""with recursive {_CHUNKS},
         n as (select repo_name, repo_path, seq, len(regexp_extract_all(content, '{TOKEN}'))::bigint n, row_number() over (partition by repo_name, repo_path order by seq) k from one_chunks where content is not null),
         f as (select repo_name, repo_path, k, case when n <= 600 then n else 0 end::bigint used, (n <= 600)::int taken from n where k = 1

@@ -49,7 +49,8 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graph_for_export(edges: DataFrame) -> DataFrame:
-    """One row: edges as a map of path -> list of paths in import order."""
+    """One row: edges as a map of path -> list of paths in import order. The interchange form is one object per
+    repository; keep the edges table itself for anything larger."""
     per = edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("targets"))
     return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("src", "targets")))).alias("edges"))
 

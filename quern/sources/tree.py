@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import file_type, is_skipped
+from ..operators.current_rows import with_ordinal
 
 PROBE_BYTES = 8192
 
@@ -27,13 +28,7 @@ def scan_tree(spark: SparkSession, root: str, repo_name: str) -> DataFrame:
     decoded = text.select(
         F.lit(repo_name).alias("repo_name"), "repo_path", "abs_path", "language", F.col("length").alias("size_bytes"), _lenient_utf8(F.col("content")).alias("raw_content")
     )
-    return decoded.withColumn("file_ord", F.rank().over(_by_path()) - 1)
-
-
-def _by_path():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("repo_name").orderBy("repo_path")
+    return decoded.join(with_ordinal(decoded.select("repo_path"), ["repo_path"], "file_ord"), "repo_path").select(*decoded.columns, "file_ord")
 
 
 def _lenient_utf8(content):

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.citations import citation_accuracy, coverage, extract_citations, parse_answer, verify_citations
 from quern.operators.current import current_files
-from quern.operators.current_rows import first_by, last_by, symmetric_difference
+from quern.operators.current_rows import first_by, last_by, symmetric_difference, with_ordinal
 from quern.operators.evaluation import aggregate_by, config_deltas, error_bucket, extract_identifiers, judge_aggregate, keyword_recall, parse_judge, pivot_mean_std, reference_keywords
 from quern.operators.mining import best_answers, curated, mined_pairs
 from quern.operators.packing import build_context, pack_prefix, pack_skip
@@ -93,6 +93,12 @@ def test_row_choices(spark):
     assert sorted((r["x"], r["side"]) for r in symmetric_difference(a, b).collect()) == [(1, "left"), (2, "left"), (3, "right")]
 
 
+def test_ordinals(spark):
+    rows = spark.range(1000).selectExpr("concat('p', lpad((id * 7919) % 1000, 4, '0')) p").repartition(7)
+    got = sorted((r["p"], r["o"]) for r in with_ordinal(rows, ["p"], "o").collect())
+    assert [o for _, o in got] == list(range(1000))
+
+
 def test_current_files(spark):
     s = "repo_name string, repo_path string, language string, size_bytes bigint, raw_content string, crawled_at timestamp_ntz"
     from datetime import datetime as d

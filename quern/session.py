@@ -23,11 +23,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     builder = SparkSession.builder.master(f"local[{cores}]").appName("quern")
     for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": str(partitions), **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    share_package(spark)
+    return spark
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever the working folder is."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data directory (a file or a folder of part files)."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -55,7 +55,7 @@ def leaked_passages(
     text: str = "text",
     n: int = 4,
     min_words: int = 15,
-    min_equal: float = 0.75,
+    min_equal: float = 0.85,
     min_hits: int = 2,
     max_item_rows: int = 100_000,
 ) -> DataFrame:

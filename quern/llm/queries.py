@@ -13,7 +13,7 @@ from .leaks import leaked_items, leaked_passages, without_leaks
 from .mixing import mix_shares, mix_sources
 from .provenance import foreign_files
 from .spam import spam_pages
-from .splitting import split_chunks
+from .splitting import split_chunks, split_seqs
 from .unparsable import parsed_files, unparsable_rates
 
 
@@ -22,8 +22,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oversized chunks: those that the splitter cuts into pieces."""
-    return split_chunks(spread(table(spark, sf_dir, "chunks")), table(spark, sf_dir, "split_limits")).where("piece_no = 0").select("seq")
+    """Oversized chunks: those that the splitter cuts into pieces. Their texts aren't asked for."""
+    return split_seqs(spread(table(spark, sf_dir, "chunks")), table(spark, sf_dir, "split_limits")).select("seq")
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

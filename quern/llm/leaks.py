@@ -48,6 +48,13 @@ def _spans(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int) -> Ite
             yield lo + first, lo + last, len(run)
 
 
+def least_hits(n: int, min_words: int, min_equal: float) -> int:
+    """How many n-grams two passages share at least, on one diagonal, when a passage is as short and as changed as it
+    may be: m differing words leave m + 1 runs, and a run of r equal words holds r - n + 1 n-grams."""
+    bounds = (length - m - (n - 1) * (m + 1) for length in range(min_words, 20 * min_words) for m in (int((1 - min_equal) * length + 1e-9),))
+    return max(1, min(bounds))
+
+
 def leaked_passages(
     documents: DataFrame,
     items: DataFrame,
@@ -56,7 +63,6 @@ def leaked_passages(
     n: int = 4,
     min_words: int = 15,
     min_equal: float = 0.85,
-    min_hits: int = 2,
     max_item_rows: int = 100_000,
 ) -> DataFrame:
     """Passages of items in documents: (doc_id, item_id, first_word, last_word, n_words, n_equal), word positions from 0.
@@ -64,8 +70,9 @@ def leaked_passages(
     Method: all n-grams of the items' normalised words are hashed into a set that is broadcast (the items are a fixed
     evaluation set; their number is checked against `max_item_rows`, beyond it a ValueError tells to run the items in
     parts). Each document's word windows are scanned against the set; every hit names a diagonal (document position
-    minus item position); a diagonal with `min_hits` hits or more is verified word by word: a passage is a run of at
-    least `min_words` words in which differing words stand alone, with a share of `min_equal` equal words or more.
+    minus item position). A diagonal with as many hits as any passage must have (least_hits) is verified word by word: a
+    passage is a run of at least `min_words` words in which differing words stand alone, with a share of `min_equal`
+    equal words or more.
 
     Null and empty texts have no passages; repeated texts and repeated items each count. An item with null text or id
     gives nothing. Documents are read once, in their own partitions, with no shuffle.
@@ -94,11 +101,18 @@ def leaked_passages(
         for x in np.frombuffer(g, dtype=np.int32).tolist():
             k = (k * base + x) & 0xFFFFFFFFFFFFFFFF
         keys.setdefault(k, []).extend(where)
-    sorted_keys = np.array(sorted(keys), dtype=np.uint64)
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, base, sorted_keys, keys, item_ids, item_words))
+    order = sorted(keys)
+    sorted_keys = np.array(order, dtype=np.uint64)
+    # the places of all keys one after another: key j has those from first[j] to first[j + 1]
+    places = [w for key in order for w in keys[key]]
+    first = np.cumsum([0, *(len(keys[key]) for key in order)])
+    of_item = np.array([i for i, _ in places], dtype=np.int64)
+    of_word = np.array([q for _, q in places], dtype=np.int64)
+    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, base, sorted_keys, first, of_item, of_word, item_ids, item_words))
+    hits_needed = least_hits(n, min_words, min_equal)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, b, sorted_k, where_of, ids, texts = shared.value
+        vocab, b, sorted_k, start, items_at, words_at, ids, texts = shared.value
         get = vocab.get
         for batch in batches:
             out: list[tuple] = []
@@ -115,22 +129,23 @@ def leaked_passages(
                     k = k * np.uint64(b) + part.astype(np.uint64)
                     known &= part > 0
                 pos = np.flatnonzero(known)
-                if not len(pos):
+                if len(pos) < hits_needed:
                     continue
                 found = np.searchsorted(sorted_k, k[pos])
                 found[found == len(sorted_k)] = 0
-                pos = pos[sorted_k[found] == k[pos]]
-                diagonals: dict[tuple[int, int], int] = {}
-                for p in pos.tolist():
-                    for i, q in where_of[int(k[p])]:
-                        diagonals[i, p - q] = diagonals.get((i, p - q), 0) + 1
-                if not diagonals:
+                hit = sorted_k[found] == k[pos]
+                pos, found = pos[hit], found[hit]
+                if len(pos) < hits_needed:
                     continue
-                for (i, shift), hits in diagonals.items():
-                    if hits < min_hits:
-                        continue
-                    # distinct unknown words never equal an item's word, as 0 is no item's number
-                    for a, z, equal in _spans(doc, texts[i], shift, min_words):
+                # all places of all hits at once
+                many = start[found + 1] - start[found]
+                at = np.repeat(start[found] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
+                shift = np.repeat(pos, many) - words_at[at]
+                diagonals, counts = np.unique(items_at[at] * (1 << 32) + shift, return_counts=True)
+                for diagonal in diagonals[counts >= hits_needed].tolist():
+                    i = (diagonal + (1 << 31)) >> 32
+                    # words that no item has are 0 and never equal an item's word
+                    for a, z, equal in _spans(doc, texts[i], diagonal - (i << 32), min_words):
                         if equal >= min_equal * (z - a + 1):
                             out.append((d, ids[i], a, z, z - a + 1, equal))
             yield pd.DataFrame(out, columns=["row_id", "item_id", "first_word", "last_word", "n_words", "n_equal"])

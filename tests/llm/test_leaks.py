@@ -3,7 +3,7 @@ import random
 import pytest
 
 pytest.importorskip("quern.llm")
-from quern.llm.leaks import leaked_items, leaked_passages, without_leaks, words
+from quern.llm.leaks import leaked_items, leaked_passages, least_hits, without_leaks, words
 
 DOCS = "doc_id bigint, text string, item_id bigint, row_id string"
 ITEMS = "item_id bigint, kind string, text string, doc_id int"
@@ -55,3 +55,40 @@ def test_reports_and_edges(spark):
     assert found(spark, [(1, " ".join(ITEM * 3000))]).select("item_id").distinct().count() == 1
     with pytest.raises(ValueError):
         found(spark, [(1, "x")], max_item_rows=1)
+
+
+def brute(doc, item, min_words=15, min_equal=0.85):
+    """Longest run on any diagonal in which differing words stand alone."""
+    d, it = words(doc), words(item)
+    for shift in range(-len(it), len(d)):
+        same = [0 <= p - shift < len(it) and d[p] == it[p - shift] for p in range(len(d))]
+        lo, hi = max(0, shift), min(len(d), len(it) + shift)
+        a = None
+        p = lo
+        while p < hi:
+            if same[p]:
+                a, last, n, q = p, p, 0, p
+                while q < hi and (same[q] or (q + 1 < hi and same[q + 1])):
+                    n += same[q]
+                    last = q if same[q] else last
+                    q += 1
+                if last - a + 1 >= min_words and n >= min_equal * (last - a + 1):
+                    return True
+                p = q + 1
+            else:
+                p += 1
+    return False
+
+
+def test_against_brute_force(spark):
+    assert least_hits(4, 15, 0.85) == 4
+    r = random.Random(8)
+    few = [f"w{i}" for i in range(12)]
+    item = [r.choice(few) for _ in range(50)]
+    docs = []
+    for i in range(120):
+        a, n = r.randint(0, 30), r.randint(10, 20)
+        part = [x if r.random() > 0.12 else r.choice(few) for x in item[a : a + n]]
+        docs.append((i, " ".join([r.choice(few) for _ in range(30)] + part + [r.choice(few) for _ in range(30)])))
+    got = {x["doc_id"] for x in found(spark, docs, [(1, "q", " ".join(item), 1)]).collect()}
+    assert got == {i for i, t in docs if brute(t, " ".join(item))}

@@ -108,7 +108,9 @@ def ivf_topk(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int
 
 def hashed_vectors(postings: DataFrame, width: int = 64) -> DataFrame:
     """Deterministic embedding: (doc_id, embedding) of term frequencies by the first byte of each term's MD5, normalised."""
-    slot = F.conv(F.substring(F.md5("term"), 1, 2), 16, 10).cast("int") % width
+    digit = lambda i: F.when(F.ascii(F.substring("_h", i, 1)) < 58, F.ascii(F.substring("_h", i, 1)) - 48).otherwise(F.ascii(F.substring("_h", i, 1)) - 87)
+    postings = postings.withColumn("_h", F.substring(F.md5("term"), 1, 2))
+    slot = (digit(1) * 16 + digit(2)) % width
     sums = postings.groupBy("doc_id", slot.alias("slot")).agg(F.sum("tf").cast("double").alias("v"))
     cells = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return cells.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float")).alias("embedding"))

@@ -60,18 +60,40 @@ def _finish(rows: DataFrame, level: str) -> DataFrame:
     )
 
 
+def _fitting(children: DataFrame, by: list[str], budget: int) -> DataFrame:
+    """Skip-greedy choice within a budget, in order of (path, id): the bullet that does not fit gives way to a placeholder.
+
+    One pass over sorted rows that carries only the sum of its group, so no group is held in memory.
+    """
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used = None, 0
+        for b in batches:
+            entries = []
+            for *key, path, bullet, n in zip(*(b[c] for c in by), b["path"], b["bullet"], b["n"]):
+                if key != group:
+                    group, used = key, 0
+                if used + n <= budget:
+                    used += n
+                    entries.append(bullet)
+                else:
+                    entries.append(f"- {path}\n<omitted>")
+            yield b.drop(columns=["bullet", "n"]).assign(entry=pd.Series(entries, index=b.index, dtype=object))
+
+    rows = children.select(*by, "path", "id", "bullet", "n").repartition(*by).sortWithinPartitions(*by, "path", "id")
+    return rows.mapInPandas(choose, ", ".join(f"{c} string" for c in [*by, "path", "id", "entry"]))
+
+
 def _roll_up(children: DataFrame, level: str, provider: Provider, budget: int, path) -> DataFrame:
-    """One summary per parent of its children's bullets; a bullet that does not fit gives way to a placeholder."""
-    c = children.select("repo_name", path.alias("parent"), "path", "id", F.concat(F.lit("- "), F.col("path"), F.lit("\n"), F.col("content")).alias("bullet")).withColumn("n", token_count(F.col("bullet")))
-    fold = lambda entries: F.aggregate(
-        entries,
-        F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.when(s["used"] + x["n"] <= budget, F.struct((s["used"] + x["n"]).alias("used"), F.concat(s["out"], F.array(x["bullet"])).alias("out"))).otherwise(
-            F.struct(s["used"].alias("used"), F.concat(s["out"], F.array(F.concat(F.lit("- "), x["path"], F.lit("\n<omitted>")))).alias("out"))
-        ),
-    )
-    grouped = c.groupBy("repo_name", F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(F.struct("path", "id", "bullet", F.col("n").cast("bigint").alias("n")))).alias("e"))
-    prompts = grouped.select("repo_name", "path", F.array_join(fold(F.col("e"))["out"], "\n\n---\n\n").alias("prompt"), F.transform("e", lambda x: x["id"]).alias("source_ids"))
+    """One summary per parent of its children's bullets; a bullet that does not fit gives way to a placeholder.
+
+    Only the chosen bullets (within the budget), placeholders and ids are collected per parent, which prompt and
+    source_ids name anyway.
+    """
+    bullets = children.select("repo_name", path.alias("parent"), "path", "id", F.concat(F.lit("- "), F.col("path"), F.lit("\n"), F.col("content")).alias("bullet")).withColumn("n", token_count(F.col("bullet")))
+    chosen = _fitting(bullets, ["repo_name", "parent"], budget)
+    grouped = chosen.groupBy("repo_name", F.col("parent").alias("path")).agg(F.array_sort(F.collect_list(F.struct("path", "id", "entry"))).alias("e"))
+    prompts = grouped.select("repo_name", "path", F.array_join(F.transform("e", lambda x: x["entry"]), "\n\n---\n\n").alias("prompt"), F.transform("e", lambda x: x["id"]).alias("source_ids"))
     return _finish(complete(prompts, provider), level)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Token bands per level, endings of names that are paths, and words that are no identifiers.
 TOKEN_BANDS = {"file": (30, 400), "directory": (50, 500), "project": (300, 2000)}
 PATH_ENDINGS = (".py", ".rst", ".md", ".toml", ".yaml", ".yml", ".cfg", ".json", ".txt", ".ini", ".sh")
@@ -27,12 +29,53 @@ def split_identifiers(text: Column) -> tuple[Column, Column]:
     return F.array_sort(F.array_distinct(code)), F.array_sort(F.array_distinct(F.concat(F.filter(names, lambda x: _ends(x, PATH_ENDINGS)), paths)))
 
 
+# Files of a folder or repository beyond which its names are dealt to several tasks.
+SCOPE_FILES = 4096
+
+
+def _scopes(path: Column) -> Column:
+    """All (level, path) that a file belongs to: itself, the project, the root folder and its ancestor folders."""
+    parts = F.split(path, "/")
+    own = F.array(F.struct(F.lit("file").alias("level"), path.alias("path")), F.struct(F.lit("project").alias("level"), F.lit(".").alias("path")), F.struct(F.lit("directory").alias("level"), F.lit(".").alias("path")))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.lit("directory").alias("level"), F.array_join(F.slice(parts, 1, i), "/").alias("path")))
+    return F.when(F.size(parts) > 1, F.concat(own, above)).otherwise(own)
+
+
+def _found_names(named: DataFrame, sources: DataFrame) -> DataFrame:
+    """(repo_name, level, path, found): the names of each scope, as (is_path, name), that its files hold.
+
+    Names go to the files, not texts to the folders: paths are exploded to their ancestors and meet the names of these
+    by equality, and each text is searched once per scope of its file, where it lies. Only names that were found go on,
+    made distinct before the shuffle. A scope of many files has its names dealt by the hash of the file.
+    """
+    key = ["repo_name", "level", "path"]
+    files = sources.select("repo_name", "repo_path").distinct().select("repo_name", "repo_path", F.explode(_scopes(F.col("repo_path"))).alias("s")).select("repo_name", "repo_path", "s.*")
+    # at most one scope in SCOPE_FILES rows of `files`, so this is small
+    large = F.broadcast(files.where("level <> 'file'").groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > SCOPE_FILES).select(*key, F.ceil(F.col("_n") / SCOPE_FILES).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    names = named.select(*key, "code", "named_paths").where("size(code) + size(named_paths) > 0").join(large, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    dealt = files.join(large, key, "left").withColumn("_part", F.pmod(F.xxhash64("repo_path"), parts).cast("int")).drop("_parts")
+    wanted = dealt.join(names, [*key, "_part"]).select(F.col("repo_name").alias("_repo"), F.col("repo_path").alias("_file"), "level", "path", "code", "named_paths")
+    # a code name is at least three of these characters, so it lies in one of the text's distinct runs of them
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_./]{3,}"), F.lit(0)))
+    texts = sources.select("repo_name", "repo_path", F.array_join(runs, " ").alias("text"))
+    rows = texts.join(wanted, (F.col("repo_name") == F.col("_repo")) & F.col("repo_path").eqNullSafe(F.col("_file")))
+    entry = lambda is_path: lambda x: F.struct(F.lit(is_path).alias("is_path"), x.alias("name"))
+    in_text = F.filter("code", lambda c: F.contains(F.coalesce("text", F.lit("")), c))
+    in_paths = F.filter("named_paths", lambda p: (F.col("repo_path") == p) | F.endswith(F.col("repo_path"), F.concat(F.lit("/"), p)))
+    hits = rows.select(*key, F.explode(F.concat(F.transform(in_text, entry(False)), F.transform(in_paths, entry(True)))).alias("x")).distinct()
+    return hits.groupBy(*key).agg(F.collect_list("x").alias("found"))
+
+
 def level_checks(summaries: DataFrame, sources: DataFrame) -> DataFrame:
     """Four checks per summary: it names itself, its length is in the band of its level, its scope fits, and at least
-    60 % of its identifiers occur in its source (none passes). sources: (repo_name, level, path, text, paths)."""
+    60 % of its identifiers occur in its source (none passes). sources: (repo_name, repo_path, text), pieces of the
+    files in any number; a folder or project is grounded in all files below it."""
     code, paths = split_identifiers(F.col("content"))
-    s = summaries.join(sources.select("repo_name", "level", "path", F.col("text").alias("_text"), F.col("paths").alias("_paths")), ["repo_name", "level", "path"], "left")
-    s = s.withColumn("code", code).withColumn("named_paths", paths)
+    ensure_checkpoint_dir(summaries.sparkSession)
+    # kept, as it is read twice and a provider is asked once per summary
+    s = summaries.withColumn("code", code).withColumn("named_paths", paths).checkpoint()
+    s = s.join(_found_names(s, sources), ["repo_name", "level", "path"], "left")
     name = F.element_at(F.split("path", "/"), -1)
     self_name = F.when(F.col("level") == "project", F.element_at(F.split("repo_name", "/"), -1)).otherwise(name)
     mentions = F.contains(F.lower("content"), F.lower(self_name)) | F.contains(F.col("content"), F.col("path"))
@@ -42,9 +85,9 @@ def level_checks(summaries: DataFrame, sources: DataFrame) -> DataFrame:
     others = F.size(F.filter("named_paths", lambda p: (p != F.col("path")) & F.contains(p, F.lit("/"))))
     folders = F.size(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([a-z_][\w]+)/"), F.lit(1))))
     scope = F.when(F.col("level") == "file", others <= 3).when(F.col("level") == "directory", F.size("named_paths") >= 1).otherwise(folders >= 2)
-    path_hit = lambda p: F.exists("_paths", lambda q: (q == p) | F.endswith(q, F.concat(F.lit("/"), p)))
     n = F.size("code") + F.size("named_paths")
-    hits = F.size(F.filter("code", lambda c: F.contains(F.coalesce("_text", F.lit("")), c))) + F.coalesce(F.size(F.filter("named_paths", path_hit)), F.lit(0))
+    of_kind = lambda is_path: F.transform(F.filter("found", lambda x: x["is_path"] == F.lit(is_path)), lambda x: x["name"])
+    hits = F.coalesce(F.size(F.array_intersect("code", of_kind(False))) + F.size(F.array_intersect("named_paths", of_kind(True))), F.lit(0))
     grounded = F.when(n > 0, hits / n >= GROUNDED_SHARE).otherwise(F.lit(True))
     out = s.select("repo_name", "level", "path", mentions.alias("mentions_self"), band.alias("length_ok"), scope.alias("scope_ok"), grounded.alias("grounded_ok"))
     return out.withColumn("passed", F.col("mentions_self") & F.col("length_ok") & F.col("scope_ok") & F.col("grounded_ok"))
@@ -56,17 +99,12 @@ def pass_rates(checks: DataFrame) -> DataFrame:
 
 
 def source_texts(chunks: DataFrame) -> DataFrame:
-    """(repo_name, level, path, text, paths) of every file, folder and project: paths are exploded to their ancestors.
+    """(repo_name, repo_path, text): the chunks' own texts, one row each; no text is kept per file, folder or repository.
 
-    The text of a folder holds all files below it: for repositories of any size keep to the file level, or check folders
-    by identifier instead (explode names, join on them).
+    A name that level_checks looks for holds no line break, so it lies in a file if it lies in one of its chunks.
+    Chunks delivered twice change nothing.
     """
-    files = chunks.dropDuplicates(["seq"]).groupBy("repo_name", "repo_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", "seq", "content"))), lambda x: x["content"]), "\n").alias("text"))
-    parts = F.split("repo_path", "/")
-    own = F.array(F.struct(F.lit("file").alias("level"), F.col("repo_path").alias("path")), F.struct(F.lit("project").alias("level"), F.lit(".").alias("path")), F.struct(F.lit("directory").alias("level"), F.lit(".").alias("path")))
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.lit("directory").alias("level"), F.array_join(F.slice(parts, 1, i), "/").alias("path")))
-    scopes = F.when(F.size(parts) > 1, F.concat(own, above)).otherwise(own)
-    return files.select("repo_name", "repo_path", "text", F.explode(scopes).alias("s")).groupBy("repo_name", "s.level", "s.path").agg(F.array_join(F.collect_list("text"), "\n").alias("text"), F.collect_set("repo_path").alias("paths"))
+    return chunks.select("repo_name", "repo_path", F.col("content").alias("text"))
 
 
 def cited_paths(text: Column) -> Column:

@@ -63,3 +63,33 @@ def test_failing_provider(spark):
 def test_verdicts(spark):
     r = spark.range(1).select(retrieval_verdict(F.lit(0.5), F.lit(0.4), F.lit(0.5)), finding(F.lit(0.4)), finding(F.lit(-0.1)), finding(F.lit(0.01))).first()
     assert tuple(r) == ("equal", "validated", "noticeable", "marginal")
+
+
+def test_no_text_per_scope(spark, monkeypatch):
+    """Names go to the files: no row holds more than one chunk's text, and a scope of many files is dealt to several tasks."""
+    from quern.operators import validation
+
+    monkeypatch.setattr(validation, "SCOPE_FILES", 2)
+    t = [("o/r", str(i), f"src/d{i % 2}/f{i}.py", f"def name_{i}(): pass", "function", 1, 1, None, 4, "python", 0, i) for i in range(9)]
+    t.append(("o/r", "x", "src/d0/f0.py", "def second_part(): pass", "function", 2, 2, None, 4, "python", 1, 100))
+    chunks = spark.createDataFrame(t, CHUNKS)
+    assert max(len(r["text"]) for r in source_texts(chunks).collect()) == max(len(x[3]) for x in t)
+    names = lambda *xs: " ".join(f"`{x}`" for x in xs)
+    said = {
+        ("project", "."): (names("name_0", "name_7", "second_part", "gone_a", "gone_b"), True), ("directory", "."): (names("name_0", "name_7", "gone_a", "gone_b"), False),
+        ("directory", "src/d0"): (names("name_0", "second_part", "d0/f2.py", "name_1"), True), ("directory", "src/d1"): (names("name_0", "name_2", "f2.py", "name_1"), False),
+        ("file", "src/d0/f0.py"): (names("name_0", "second_part", "f0.py", "0/f0.py"), True), ("file", "src/d0/f2.py"): (names("ame_2", "f0.py", "name_4"), False), ("directory", "gone"): ("`name_0`", False),
+    }
+    s = spark.createDataFrame([("o/r", level, path, text, 60) for (level, path), (text, _) in said.items()], "repo_name string, level string, path string, content string, token_count int")
+    got = {(r["level"], r["path"]): r["grounded_ok"] for r in level_checks(s, source_texts(chunks)).collect()}
+    assert got == {k: ok for k, (_, ok) in said.items()}
+
+
+def test_roll_up_collects_no_omitted_bullet(spark):
+    from quern.operators.summaries import _fitting
+
+    n = 3000
+    rows = spark.range(n).selectExpr("'r' repo_name", "'d' parent", "concat('d/f', lpad(id, 5, '0')) path", "cast(id as string) id", "repeat('word ', 50) bullet", "if(id = 2, 900, 50) n")
+    got = {r["path"]: r["entry"] for r in _fitting(rows, ["repo_name", "parent"], 300).collect()}
+    kept = [p for p, e in got.items() if "<omitted>" not in e]
+    assert len(got) == n and sorted(kept) == [f"d/f{i:05}" for i in (0, 1, 3, 4, 5, 6)]

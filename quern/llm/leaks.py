@@ -29,30 +29,67 @@ def words(text: str | None) -> list[str]:
     return out
 
 
-def _spans(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """Runs on the diagonal item = doc - shift: equal words, single replaced words in between."""
+def _parts(same: np.ndarray, min_words: int, min_equal: float) -> Iterator[tuple[int, int, int]]:
+    """(first, last, equal words) of the longest part of a run that has at least min_words words, begins and ends on
+    equal words and reaches min_equal; then of what lies before and behind it. One pass over prefix sums each."""
+    todo = [(0, len(same))]
+    while todo:
+        a, b = todo.pop()
+        at = np.flatnonzero(same[a:b]) + a
+        if not len(at) or at[-1] - at[0] + 1 < min_words:
+            continue
+        if len(at) >= min_equal * (at[-1] - at[0] + 1) - 1e-9:
+            yield int(at[0]), int(at[-1]), len(at)
+            continue
+        # before the k-th equal word lie k equal ones; a part is good when its balance doesn't fall
+        before = (np.arange(len(at)) - min_equal * at).tolist()
+        after = (np.arange(1, len(at) + 1) - min_equal * (at + 1)).tolist()
+        starts: list[int] = []
+        for k, x in enumerate(before):
+            if not starts or x < before[starts[-1]] - 1e-9:
+                starts.append(k)
+        best = None
+        for z in range(len(at) - 1, -1, -1):
+            while starts and after[z] >= before[starts[-1]] - 1e-9:
+                s = starts.pop()
+                if s <= z and (best is None or at[z] - at[s] > at[best[1]] - at[best[0]]):
+                    best = (s, z)
+        if best is None or at[best[1]] - at[best[0]] + 1 < min_words:
+            continue
+        yield int(at[best[0]]), int(at[best[1]]), best[1] - best[0] + 1
+        todo += [(a, int(at[best[0]])), (int(at[best[1]]) + 1, b)]
+
+
+def _whole(same: np.ndarray, min_words: int, min_equal: float) -> Iterator[tuple[int, int, int]]:
+    """The same for the run as a whole."""
+    at = np.flatnonzero(same)
+    if len(at) and at[-1] - at[0] + 1 >= min_words and len(at) >= min_equal * (at[-1] - at[0] + 1) - 1e-9:
+        yield int(at[0]), int(at[-1]), len(at)
+
+
+def _spans(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int, min_equal: float, parts: bool) -> Iterator[tuple[int, int, int]]:
+    """Passages on the diagonal item = doc - shift: equal words, single replaced words in between."""
     lo, hi = max(0, shift), min(len(doc), len(item) + shift)
     same = doc[lo:hi] == item[lo - shift : hi - shift]
-    if int(same.sum()) < min_words // 2:
+    if int(same.sum()) < min_equal * min_words - 1e-9:
         return
     # two words in a row that differ end a passage; a single one is a replaced word
     gap = ~same
     cut = np.flatnonzero(gap[:-1] & gap[1:]) if len(gap) > 1 else np.array([], dtype=int)
     edges = np.concatenate(([-1], cut, [len(same)]))
     for a, b in zip(edges[:-1] + 1, edges[1:]):
-        run = np.flatnonzero(same[a:b])
-        if not len(run):
-            continue
-        first, last = a + run[0], a + run[-1]
-        if last - first + 1 >= min_words:
-            yield lo + first, lo + last, len(run)
+        for first, last, equal in (_parts if parts else _whole)(same[a:b], min_words, min_equal):
+            yield int(lo + a + first), int(lo + a + last), equal
 
 
 def least_hits(n: int, min_words: int, min_equal: float) -> int:
     """How many n-grams two passages share at least, on one diagonal, when a passage is as short and as changed as it
     may be: m differing words leave m + 1 runs, and a run of r equal words holds r - n + 1 n-grams."""
     bounds = (length - m - (n - 1) * (m + 1) for length in range(min_words, 20 * min_words) for m in (int((1 - min_equal) * length + 1e-9),))
-    return max(1, min(bounds))
+    least = min(bounds)
+    if least < 1:
+        raise ValueError(f"a passage with {min_equal} equal words may hold no run of {n}: use shorter n-grams")
+    return least
 
 
 def leaked_passages(
@@ -64,6 +101,7 @@ def leaked_passages(
     min_words: int = 15,
     min_equal: float = 0.85,
     max_item_rows: int = 100_000,
+    parts: bool = False,
 ) -> DataFrame:
     """Passages of items in documents: (doc_id, item_id, first_word, last_word, n_words, n_equal), word positions from 0.
 
@@ -72,7 +110,9 @@ def leaked_passages(
     parts). Each document's word windows are scanned against the set; every hit names a diagonal (document position
     minus item position). A diagonal with as many hits as any passage must have (least_hits) is verified word by word: a
     passage is a run of at least `min_words` words in which differing words stand alone, with a share of `min_equal`
-    equal words or more.
+    equal words or more. With `parts` it is any part of such a run that begins and ends on equal words and has that
+    length and share, so that the words around it take nothing from it. least_hits counts within the passage, so it
+    holds for both; a share under which a passage may hold no n-gram at all is an error.
 
     Null and empty texts have no passages; repeated texts and repeated items each count. An item with null text or id
     gives nothing. Documents are read once, in their own partitions, with no shuffle.
@@ -145,9 +185,8 @@ def leaked_passages(
                 for diagonal in diagonals[counts >= hits_needed].tolist():
                     i = (diagonal + (1 << 31)) >> 32
                     # words that no item has are 0 and never equal an item's word
-                    for a, z, equal in _spans(doc, texts[i], diagonal - (i << 32), min_words):
-                        if equal >= min_equal * (z - a + 1):
-                            out.append((d, ids[i], a, z, z - a + 1, equal))
+                    for a, z, equal in _spans(doc, texts[i], diagonal - (i << 32), min_words, min_equal, parts):
+                        out.append((d, ids[i], a, z, z - a + 1, equal))
             yield pd.DataFrame(out, columns=["row_id", "item_id", "first_word", "last_word", "n_words", "n_equal"])
 
     source = documents.select(F.col(doc_id).cast("bigint").alias("row_id"), F.col(text).alias("text")).where("text is not null")

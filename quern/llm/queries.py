@@ -65,7 +65,7 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+    return leaked_passages(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"), parts=True)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import pytest
 
 pytest.importorskip("quern.llm")
+import numpy as np
+
 from quern.llm.leaks import leaked_items, leaked_passages, least_hits, without_leaks, words
 
 DOCS = "doc_id bigint, text string, item_id bigint, row_id string"
@@ -92,3 +94,23 @@ def test_against_brute_force(spark):
         docs.append((i, " ".join([r.choice(few) for _ in range(30)] + part + [r.choice(few) for _ in range(30)])))
     got = {x["doc_id"] for x in found(spark, docs, [(1, "q", " ".join(item), 1)]).collect()}
     assert got == {i for i, t in docs if brute(t, " ".join(item))}
+
+
+def test_best_part_of_a_run(spark):
+    """Chance matches around a passage take nothing from it; the parts are those of a search over all pairs of ends."""
+    verbatim = ITEM[10:26]
+    tail = [x if k % 2 else "other" for k, x in enumerate(ITEM[26:36])]
+    head = [x if k % 2 else "other" for k, x in enumerate(ITEM[1:10])]
+    docs = [(1, " ".join([noise(40), *verbatim, *tail, noise(40)])), (2, " ".join([noise(40), *head, *verbatim, *tail, noise(40)])), (3, " ".join([noise(40), *verbatim[:11], *tail, noise(40)]))]
+    assert {(r["doc_id"], r["item_id"]) for r in found(spark, docs, parts=True).collect()} == {(1, 1), (2, 1)}
+    from quern.llm.leaks import _parts
+
+    r = random.Random(5)
+    for _ in range(400):
+        same = [r.random() < 0.8 for _ in range(r.randint(1, 60))]
+        want = max((z - a + 1 for a in range(len(same)) for z in range(a + 14, len(same)) if same[a] and same[z] and sum(same[a : z + 1]) >= 0.85 * (z - a + 1) - 1e-9), default=0)
+        got = list(_parts(np.array(same), 15, 0.85))
+        assert max((z - a + 1 for a, z, _ in got), default=0) == want
+        assert all(n == sum(same[a : z + 1]) >= 0.85 * (z - a + 1) - 1e-9 for a, z, n in got)
+    with pytest.raises(ValueError):
+        least_hits(4, 15, 0.75)

@@ -130,38 +130,41 @@ def spam_pages(
     function_part: float = 0.5,
     pair_times: float = 3.0,
     code_lines: float = 0.25,
+    word_times: float = 3.0,
+    separator_times: float = 3.0,
 ) -> DataFrame:
     """Spam pages: (doc_id, lang, reason, and the features).
 
-    Thresholds are calibrated per language on all documents: the medians of the function-word share and of the top
-    pair's share of each voted language (five languages and 'none' at most, so the table of medians is broadcast).
+    Thresholds are calibrated per language on all documents: the medians of the function-word share, of the top
+    pair's and top word's share and of the separators per word of each voted language (five languages and 'none' at most, so the table of medians is broadcast).
     A page is spam when at most `sentences` plain sentences hold at most `prose_share` of its words (or any number of
     them at most `stray_prose`: keywords can look like sentences), it isn't source code, and it shows what fills it instead: function words are missing (under `function_part` of the language's
-    median), or a pair of words fills the page (over `pair_times` the median), or lines repeat, or links do. reason is
+    median), or a pair of words fills the page (over `pair_times` the median), or a word that occurs four times or more
+    does (over `word_times` the median), or separators do (over `separator_times` the median), or lines repeat, or links do. reason is
     'links', 'tags' or 'keywords'. Null, empty and very short texts are never spam. Repeated texts each count.
     """
     ensure_checkpoint_dir(documents.sparkSession)
     found = spam_features(documents, doc_id, text).checkpoint()
     key = F.coalesce(F.col("lang"), F.lit("none"))
-    medians = (
-        found.where(f"lang is not null and code_lines < {code_lines} and prose_share > {prose_share}")
-        .groupBy("lang")
-        .agg(F.percentile_approx("function_share", 0.5, 1000).alias("usual_function"), F.percentile_approx("top_pair", 0.5, 1000).alias("usual_pair"))
-    )
-    overall = found.where(f"code_lines < {code_lines} and prose_share > {prose_share}").agg(
-        F.percentile_approx("function_share", 0.5, 1000).alias("all_function"), F.percentile_approx("top_pair", 0.5, 1000).alias("all_pair")
-    )
+    usual = lambda kind: [F.percentile_approx(c, 0.5, 1000).alias(f"{kind}_{name}") for c, name in (("function_share", "function"), ("top_pair", "pair"), ("top_word", "word"), ("separators", "separator"))]
+    prose = found.where(f"code_lines < {code_lines} and prose_share > {prose_share}")
+    medians = prose.where("lang is not null").groupBy("lang").agg(*usual("usual"))
+    overall = prose.agg(*usual("all"))
     judged = found.join(F.broadcast(medians), "lang", "left").crossJoin(F.broadcast(overall))
     usual_function = F.coalesce("usual_function", "all_function", F.lit(0.3))
     usual_pair = F.coalesce("usual_pair", "all_pair", F.lit(0.02))
     missing = F.col("function_share") < function_part * usual_function
     stuffed = F.col("top_pair") > F.greatest(pair_times * usual_pair, F.lit(0.04))
+    usual_word = F.coalesce("usual_word", "all_word", F.lit(0.03))
+    usual_separator = F.coalesce("usual_separator", "all_separator", F.lit(0.06))
+    crowded = (F.col("top_word") > F.greatest(word_times * usual_word, F.lit(0.06))) & (F.col("top_word") * F.col("n_words") >= 4)
+    separated = F.col("separators") > F.greatest(separator_times * usual_separator, F.lit(0.12))
     linked = (F.col("link_share") > 0.4) | (F.col("n_links") > 0.3 * F.col("n_words"))
     spam = (
         (F.col("n_words") >= min_words)
         & (F.col("prose_share") <= F.when(F.col("n_prose") <= sentences, prose_share).otherwise(stray_prose))
         & (F.col("code_lines") < code_lines)
-        & (missing | stuffed | linked | (F.col("duplicate_lines") > 0.3))
+        & (missing | stuffed | crowded | separated | linked | (F.col("duplicate_lines") > 0.3))
     )
     reason = F.when(linked, "links").when(F.col("separators") > 0.6, "tags").otherwise("keywords")
     return judged.where(spam).select(

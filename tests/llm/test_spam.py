@@ -44,3 +44,17 @@ def test_reasons_and_edges(spark):
 
 def test_long_text():
     assert features("log kit, " * 100_000)[1] == 200_000
+
+
+def test_top_word_and_separators_decide(spark):
+    """Pages with normal function words, no repeated line, no link and no frequent pair of words."""
+    things = "hose pump rake lamp tent rope bench grill spade mower fence shed stove cabin towel glove boots shelf stool clock kettle basket ladder bucket".split()
+    places = "garden pool lawn desk beach boat park yard field path door roof tools stairs guests hands snow books piano wall tea bread attic well".split()
+    tags = " | ".join(f"{a} for {b}" for a, b in zip(things, places))
+    between = "for and with the of to in on or by from at".split()
+    one = ". ".join(f"pump {a} {between[i % 12]}" for i, a in enumerate(things[2:]))
+    rows = [(i, t, None, None, 0) for i, t in [*GOOD.items(), *((40 + k, PROSE * k) for k in range(1, 10)), (31, tags), (32, one)]]
+    df = spark.createDataFrame(rows, DOCS)
+    f = {r["row_id"]: r for r in spam_features(df).where("row_id in (31, 32)").collect()}
+    assert all(r["prose_share"] == 0 and r["function_share"] > 0.2 and r["top_pair"] < 0.04 and r["link_share"] == r["duplicate_lines"] == 0 for r in f.values())
+    assert sorted(r["doc_id"] for r in spam_pages(df).collect()) == [31, 32]

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.languages import code_language
 
 _BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"
+# Rust's block comments nest; the pattern follows them three deep.
+_NESTED = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
+for _ in range(2):
+    _NESTED = rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|{_NESTED})*+(?:\*/|\z)"
 _LINE = r"//[^\n]*"
 _STRING = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
 _CHAR = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"
@@ -68,7 +72,7 @@ def _lexer(lang: str) -> str:
     header = "|".join(h.replace("(?<name>", "(?:") for h in HEADERS[lang])
     mark = "#" if lang == "python" else "//"
     run = rf"(?:\A[ \t]*+|\s*\n[ \t]*+){mark}[^\n]*+(?:\r?\n[ \t]*+{mark}[^\n]*+)*+"
-    comment = r"#[^\n]*+" if lang == "python" else f"{_BLOCK}|{_LINE}"
+    comment = r"#[^\n]*+" if lang == "python" else f"{_NESTED if lang == 'rust' else _BLOCK}|{_LINE}"
     rest = r"[^\s\"'#@\[][^\n\"'#]*+" if lang == "python" else r"[^\s\"'`/@#{}\[][^\n\"'`/{}]*+"
     return rf"{run}|\s*+(?:{comment}|{_ANNOTATION[lang]}|{_STRINGS[lang]}|{header}|[{{}}]|{rest}|\S)|\s+"
 
@@ -159,27 +163,19 @@ def is_substantive(doc: str | None, name: str | None, least: int = 2) -> bool:
     return False
 
 
-def _judge(doc: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([is_substantive(d, n) for d, n in zip(doc, name)], dtype=bool)
+def _judge(docstring: pd.Series, comment: pd.Series, name: pd.Series) -> pd.Series:
+    """1 when the docstring says something, else 2 when the comment does, else 0."""
+    return pd.Series([1 if is_substantive(d, n) else 2 if is_substantive(c, n) else 0 for d, c, n in zip(docstring, comment, name)], dtype="int32")
 
 
-def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame:
-    """Function-documentation pairs: seq, repo_name, repo_path, language, function_name, documentation, code, depth.
+_DEF = r"(?m)^([ \t]*)(?:async[ \t]+)?def[ \t]"
 
-    Method: the text of each function, class and module chunk is lexed into rows (comments, strings, annotations,
-    function headers, braces, and the rest of a line). A running sum of braces gives the depth; openers and closers of
-    one depth alternate, so the next row in the partition of a depth (gaps and islands) delimits a function; in Python
-    the next row with no more indentation does. A lag window attaches a comment row to the header behind it, past
-    annotations. The window runs over the whole file, so a comment at the end of the module chunk
-    that ends on the line before reaches the function in the next chunk. A Python docstring is the lead of its header.
-    A pair is kept when its documentation says something beyond the name: see is_substantive.
 
-    A seq that is delivered twice counts once. The language is told by the extension of repo_path; other files, null
-    paths and null contents give nothing. A null start_line or end_line only keeps a comment in the chunk before from
-    being attached unless the line counts agree. Chunks are shuffled once, by file; a file is the unit that stays whole.
-    """
+def _lexed(chunks: DataFrame, file_of: list[str]) -> DataFrame:
+    """One row per lexeme of the function, class and module chunks, each seq once; in Python with the indents at which
+    the chunk defines functions."""
     lang = code_language(F.col("repo_path"))
-    file_of = ["repo_name", "repo_path"]
+    indents = F.when(F.col("lang") == "python", F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(_DEF), F.lit(1)), F.length)))
     rows = (
         chunks.where("chunk_type in ('function', 'class', 'module') and content is not null")
         .withColumn("lang", lang)
@@ -189,33 +185,63 @@ def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame
         .withColumn("_copy", F.row_number().over(W.partitionBy(*file_of, "seq").orderBy("start_line")))
         .where("_copy = 1")
         .withColumn("lines", F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit(""))))
-        .select(*file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", F.posexplode(lexemes(F.col("content"), F.col("lang"))).alias("i", "x"))
-    )
-    token = F.ltrim(F.regexp_replace("x", r"^\s+", ""))
-    rows = (
-        rows.withColumn("gap", F.regexp_extract("x", r"^(\s*)", 1))
-        .withColumn("t", token)
-        .where("t <> ''")
-        .withColumn("nl", F.length("gap") - F.length(F.replace(F.col("gap"), F.lit("\n"), F.lit(""))))
-        .withColumn("fresh", (F.col("nl") > 0) | (F.col("i") == 0))
+        # below the explode, so that no text is repeated in its rows
+        .withColumn("indents", indents)
+        .select(*file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", "indents", F.posexplode(lexemes(F.col("content"), F.col("lang"))).alias("i", "x"))
+        .withColumn("gap", F.regexp_extract("x", r"^(\s*)", 1))
+        .withColumn("t", F.ltrim(F.regexp_replace("x", r"^\s+", "")))
     )
     ends_open = F.col("t").endswith("{") | F.col("t").endswith("=>") | F.col("t").endswith(":")
     name = F.when(ends_open & (F.length("t") > 3), _name(F.col("t"), F.col("lang")))
     is_comment = F.when(F.col("lang") == "python", F.col("t").startswith("#")).otherwise(F.col("t").startswith("//") | F.col("t").startswith("/*"))
     annotation = F.col("t").startswith("@") | ((F.col("lang") == "rust") & F.col("t").rlike(r"^#!?\[")) | F.col("t").startswith("[[") | F.col("t").startswith("__attribute__")
-    rows = rows.withColumn("name", name).withColumn(
-        "kind",
-        F.when(is_comment, "comment")
+    kind = (
+        F.when(F.col("t") == "", "blank")
+        .when(is_comment, "comment")
         .when(F.col("name").isNotNull(), "header")
         .when(annotation, "annotation")
         .when(F.col("t") == "{", "open")
         .when(F.col("t") == "}", "close")
         .when(F.col("t").rlike("^[rRuU]?[\"']"), "string")
-        .otherwise("rest"),
+        .otherwise("rest")
     )
+    return rows.withColumn("name", name).withColumn("kind", kind)
+
+
+def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame:
+    """Function-documentation pairs: seq, repo_name, repo_path, language, function_name, documentation, depth, and code
+    if with_code (it is cut out of the chunk's text afterwards; the pairs are the same).
+
+    Method: the text of each function, class and module chunk is lexed into rows (comments, strings, annotations,
+    function headers, braces, and the rest of a line). Windows over a file's rows in order attach a comment row to the
+    header behind it, past annotations (lag), a docstring to the header before it (lead), and sum the braces up to the
+    depth. The rows that open or close a depth alternate within the partition of that depth, so the next one there
+    delimits the function (gaps and islands). In Python the rows of a depth are those indented at most as far as a
+    function is; the next of them ends it. A header without a body, or whose body doesn't end, is no function. The
+    window runs over the whole file, so a comment at the end of the module chunk that ends on the line before reaches
+    the function in the next chunk. A pair is kept when its documentation says something beyond the name: see
+    is_substantive.
+
+    A seq that is delivered twice counts once. The language is told by the extension of repo_path; other files, null
+    paths and null contents give nothing. A null start_line or end_line only keeps a comment in the chunk before from
+    being attached unless the line counts agree. Chunks are shuffled once, by file; a file is the unit that stays whole.
+    """
+    file_of = ["repo_name", "repo_path"]
     in_file = W.partitionBy(*file_of).orderBy("start_line", "seq", "i")
+    upto = in_file.rowsBetween(W.unboundedPreceding, 0)
     before = lambda c: F.lag(c).over(in_file)
-    attached = rows.where("kind <> 'annotation'")
+    after = lambda c, k=1: F.when(F.lead("seq", k).over(in_file) == F.col("seq"), F.lead(c, k).over(in_file))
+    rows = _lexed(chunks, file_of)
+    # characters of the file's chunks before the lexeme, and up to its text
+    rows = rows.withColumn("until", F.sum(F.length("x")).over(upto)).withColumn("at", F.col("until") - F.length("t")) if with_code else rows.withColumns({"until": F.lit(None).cast("bigint"), "at": F.lit(None).cast("bigint")})
+    rows = rows.withColumn("chunk_at", F.last(F.when(F.col("i") == 0, F.col("until") - F.length("x")), True).over(upto)) if with_code else rows.withColumn("chunk_at", F.lit(None).cast("bigint"))
+    rows = (
+        rows.where("kind <> 'blank'")
+        .withColumn("nl", F.length("gap") - F.length(F.replace(F.col("gap"), F.lit("\n"), F.lit(""))))
+        .withColumn("fresh", (F.col("nl") > 0) | (F.col("i") == 0))
+        .where("kind <> 'annotation'")
+    )
+    delta = F.when((F.col("kind") == "open") | ((F.col("kind") == "header") & F.col("t").endswith("{")), 1).when(F.col("kind") == "close", -1).otherwise(0)
     follows = (
         (before("kind") == "comment")
         & before("fresh")
@@ -228,45 +254,50 @@ def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame
             )
         )
     )
-    inside = F.when((F.col("lang") == "python") & (F.lead("kind").over(in_file) == "string") & (F.lead("seq").over(in_file) == F.col("seq")), F.lead("t").over(in_file))
-    headers = attached.withColumn("comment", F.when((F.col("kind") == "header") & follows, before("t"))).withColumn("docstring", F.when(F.col("kind") == "header", inside))
-    headers = _with_code(headers, file_of) if with_code else headers.where("kind = 'header'").withColumn("code", F.lit(None).cast("string")).withColumn("depth", F.lit(None).cast("int"))
-    found = headers.where("comment is not null or docstring is not null")
-    # the docstring counts first, then the comment in front
-    _substantive = F.pandas_udf(_judge, "boolean")
-    documentation = F.when(_substantive("docstring", "name"), F.col("docstring")).when(_substantive("comment", "name"), F.col("comment"))
-    return (
-        found.withColumn("documentation", documentation)
-        .where("documentation is not null")
-        .select("seq", *file_of, F.col("lang").alias("language"), F.col("name").alias("function_name"), "documentation", "code", "depth")
-    )
-
-
-def _with_code(rows: DataFrame, file_of: list[str]) -> DataFrame:
-    """Adds the code of each header's function, and its depth."""
-    in_chunk = W.partitionBy(*file_of, "seq").orderBy("i")
-    upto = in_chunk.rowsBetween(W.unboundedPreceding, 0)
-    delta = F.when((F.col("kind") == "open") | ((F.col("kind") == "header") & F.col("t").endswith("{")), 1).when(F.col("kind") == "close", -1).otherwise(0)
+    is_header, python = F.col("kind") == "header", F.col("lang") == "python"
+    # the docstring is the next row, behind comments of its own
+    inside = F.when(python & (after("kind") == "string"), after("t")).when(python & (after("kind") == "comment") & (after("kind", 2) == "string"), after("t", 2))
     rows = (
         rows.withColumn("delta", delta)
-        .withColumn("n", F.row_number().over(in_chunk))
-        .withColumn("after", F.sum("delta").over(upto))
-        .withColumn("level", F.when(F.col("delta") == 1, F.col("after") - 1).when(F.col("delta") == -1, F.col("after")))
-        .withColumn("closes", F.lead("n").over(W.partitionBy(*file_of, "seq", "level").orderBy("i")))
-        .withColumn("indent", F.when(F.col("fresh") & (F.col("kind") != "comment"), F.length(F.regexp_extract("gap", r"([^\n]*)$", 1))))
+        .withColumn("comment", F.when(is_header & follows, before("t")))
+        .withColumn("docstring", F.when(is_header, inside))
+        .withColumn("filled", after("i").isNotNull())
+        .withColumn("behind", F.when(is_header & (F.col("delta") == 0), after("at", 2)))
+        .withColumn("indent", F.length(F.regexp_extract("gap", r"([^\n]*)$", 1)))
+        # where the row before ends; a comment of the same indent belongs to this row
+        .withColumn("before", F.when((before("kind") == "comment") & before("fresh") & (before("indent") == F.col("indent")), F.lag("until", 2).over(in_file)).otherwise(before("until")))
+        .withColumn("sum", F.sum("delta").over(upto))
+        .withColumn("base", F.last(F.when(before("seq").isNull() | (before("seq") != F.col("seq")), F.col("sum") - F.col("delta")), True).over(upto))
     )
-    # one row per chunk: its lexemes once, and its headers; a header cuts its code out of the lexemes
-    header = F.when(F.col("kind") == "header", F.struct("n", "name", "comment", "docstring", "delta", "closes", "indent", "level"))
-    per_chunk = rows.groupBy(*file_of, "seq", "lang").agg(F.collect_list(F.struct("n", "x", "indent")).alias("lexemes"), F.collect_list(header).alias("headers")).where("size(headers) > 0")
-    per_chunk = per_chunk.withColumn("lexemes", F.array_sort("lexemes")).withColumn("texts", F.transform("lexemes", lambda r: r["x"]))
-    behind = F.size("texts") + 1
-
-    def cut(h: Column) -> Column:
-        # Python: the end is the first fresh row behind the header that is not indented further
-        stop = F.when(F.col("lang") == "python", F.get(F.filter("lexemes", lambda r: (r["n"] > h["n"]) & (r["indent"] <= h["indent"])), F.lit(0))["n"])
-        end = F.when(F.col("lang") == "python", F.coalesce(stop, behind)).when(h["delta"] == 1, F.coalesce(h["closes"] + 1, behind)).otherwise(F.least(h["n"] + 2, behind))
-        code = F.regexp_replace(F.array_join(F.slice("texts", h["n"], F.greatest(end - h["n"], F.lit(1))), ""), r"^\s+", "")
-        return F.struct(h["name"].alias("name"), h["comment"].alias("comment"), h["docstring"].alias("docstring"), code.alias("code"), h["level"].cast("int").alias("depth"))
-
-    documented = F.filter("headers", lambda h: h["comment"].isNotNull() | h["docstring"].isNotNull())
-    return per_chunk.select(*file_of, "seq", "lang", F.explode(F.transform(documented, cut)).alias("h")).select(*file_of, "seq", "lang", "h.*")
+    # the depths at which a row opens or closes something
+    indent = F.col("indent")
+    at_indent = F.when(F.col("fresh") & (F.col("kind") != "comment"), F.filter("indents", lambda d: d >= indent))
+    at_brace = F.when(F.col("delta") == 1, F.array(F.col("sum") - 1)).when(F.col("delta") == -1, F.array(F.col("sum")))
+    # an arrow without a brace opens nothing; its row stands alone
+    alone = F.when(is_header & (F.col("delta") == 0), F.array(F.lit(None).cast("bigint")))
+    levels = F.when(python, F.transform(at_indent, lambda d: d.cast("bigint"))).otherwise(F.coalesce(at_brace, alone))
+    depth = F.when(python, F.size(F.filter("indents", lambda d: d < indent))).otherwise(F.coalesce(F.col("sum") - F.greatest("delta", F.lit(0)), F.lit(0)) - F.col("base"))
+    marks = rows.select(
+        *file_of, "seq", "lang", "i", "delta", "filled", "at", "before", "until", "chunk_at", "behind", "name", "comment", "docstring", depth.cast("int").alias("depth"), "indent", F.explode(levels).alias("level")
+    )
+    in_level = W.partitionBy(*file_of, "seq", "level").orderBy("i")
+    next_of = lambda c: F.lead(c).over(in_level)
+    ends = F.when(python, next_of("before")).when(F.col("delta") == 1, next_of("until")).otherwise(F.col("behind"))
+    closed = F.when(python, F.col("filled") & (F.col("level") == F.col("indent")) & F.coalesce(next_of("i") > F.col("i") + 1, F.lit(True))).when(F.col("delta") == 1, next_of("delta") == -1).otherwise(F.col("filled"))
+    # one evaluation: the mark keeps the optimizer from copying the function into the filter
+    judge = F.pandas_udf(_judge, "int").asNondeterministic()
+    found = (
+        marks.withColumn("ends", ends)
+        .withColumn("closed", closed)
+        .where("name is not null and closed and (comment is not null or docstring is not null)")
+        .withColumn("says", judge("docstring", "comment", "name"))
+        .where("says > 0")
+        .withColumn("documentation", F.when(F.col("says") == 1, F.col("docstring")).otherwise(F.col("comment")))
+    )
+    columns = ["seq", *file_of, F.col("lang").alias("language"), F.col("name").alias("function_name"), "documentation", "depth"]
+    if not with_code:
+        return found.select(*columns)
+    texts = chunks.where("content is not null").groupBy(*[F.col(c).alias(f"_{c}") for c in (*file_of, "seq")]).agg(F.min_by("content", "start_line").alias("content"))
+    same = [F.equal_null(found[c], texts[f"_{c}"]) for c in (*file_of, "seq")]
+    start, length = F.col("at") - F.col("chunk_at"), F.coalesce(F.col("ends") - F.col("at"), F.length("content"))
+    return found.join(texts, same).select(*columns, F.rtrim(F.substring("content", start.cast("int") + 1, length.cast("int"))).alias("code"))

@@ -39,7 +39,7 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only names are asked for, so the pairs' code is not built."""
+    """The names of the pairs; their code isn't cut out of the texts."""
     return documented_functions(table(spark, sf_dir, "chunks"), with_code=False).select("seq", "function_name").distinct()
 
 

@@ -58,6 +58,48 @@ def test_substance(doc, name, good):
     assert is_substantive(doc, name) is good
 
 
+def test_only_delimited_functions(spark):
+    """A header whose body is missing or never closes is no function; docstrings behind a comment, nested comments."""
+    texts = {
+        "open.go": f"// {DOC}\nfunc Keep() {{\n\tx := 1\n", "part.js": f"// {DOC}\nfunction keep() {{\n  if (x) {{\n}}\n", "end.py": f"# {DOC}\ndef keep(x):\n",
+        "note.py": f'def keep(x):\n    # a remark\n    """{DOC}"""\n    return x\n', "nested.rs": f"/* {DOC} /* of old */ and new */\nfn keep() {{\n}}\n", "one.py": f"# {DOC}\ndef keep(x): return 1\ndef other(x):\n    return 2\n",
+    }
+    df = spark.createDataFrame([(i, "r", p, "function", 1, 4, t, None, 0, "", 0) for i, (p, t) in enumerate(texts.items())], CHUNKS)
+    for code in (True, False):
+        got = {r["repo_path"]: r for r in documented_functions(df, with_code=code).collect()}
+        assert set(got) == {"note.py", "nested.rs", "one.py"}
+    assert documented_functions(df).where("repo_path = 'one.py'").first()["code"] == "def keep(x): return 1"
+
+
+def test_depth_and_code_agree_with_ast(spark):
+    import ast
+    import random
+
+    r = random.Random(3)
+    lines, spans = [], {}
+
+    def block(depth, name):
+        pad = "    " * depth
+        first = len(lines)
+        lines.append(f"{pad}def {name}(a, b=(1, 2)):")
+        lines.append(f'{pad}    """{DOC}"""')
+        for k in range(r.randint(1, 3)):
+            lines.append(f"{pad}    x = {{'a': [{k}]}}")
+            if depth < 3 and r.random() < 0.6:
+                block(depth + 1, f"{name}_{k}")
+        lines.append(f"{pad}    return x")
+        spans[name] = (first, depth)
+
+    for i in range(4):
+        block(0, f"f{i}")
+    text = "\n".join(lines)
+    got = {x["function_name"]: (x["code"], x["depth"]) for x in documented_functions(spark.createDataFrame([(1, "r", "a.py", "module", 1, 2, text, None, 0, "", 0)], CHUNKS)).collect()}
+    nodes = {n.name: n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.FunctionDef)}
+    assert set(got) == set(nodes) == set(spans)
+    for name, n in nodes.items():
+        assert got[name] == (ast.get_source_segment(text, n), spans[name][1])
+
+
 def test_long_chunk(spark):
     text = f"// {DOC}\nfunc Keep() {{\n" + "\tx += 1 // one\n" * 30_000 + "}\n"
     got = documented_functions(spark.createDataFrame([(1, "r", "a.go", "function", 1, 2, text, None, 0, "", 0)], CHUNKS)).collect()

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 HITS = "row_id bigint, item_id bigint, first_word int, last_word int, n_words int, n_equal int"
-_ESCAPE = re.compile(r"\\[nrt]|</?[a-zA-Z!][^<>\n]{0,200}>|&#?\w{1,8};|\\(?=\W)|[*_~`]{1,3}(?=\w)|(?<=\w)[*~`]{1,3}")
+_ESCAPE = re.compile(r"\\[nrt]|</?[a-zA-Z!][^<>\n]*>|&#?\w{1,8};|\\(?=\W)|[*_~`]{1,3}(?=\w)|(?<=\w)[*~`]{1,3}")
 _STRIP = re.compile(r"[\W_]+")
 
 
@@ -29,6 +30,13 @@ def words(text: str | None) -> list[str]:
     return out
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where each of `words(text)` begins and ends in the text."""
+    # what goes keeps its length: a blank where words part, a sign that is no letter where they don't
+    padded = _ESCAPE.sub(lambda m: (" " if m[0][0] in "<\\&" and len(m[0]) > 1 else "\ue000") * len(m[0]), text)
+    return [m.span() for m in re.finditer(r"\S+", padded) if (w := m[0].lower()).isalnum() or _STRIP.sub("", w)]
+
+
 def _parts(same: np.ndarray, min_words: int, min_equal: float) -> Iterator[tuple[int, int, int]]:
     """(first, last, equal words) of the longest part of a run that has at least min_words words, begins and ends on
     equal words and reaches min_equal; then of what lies before and behind it. One pass over prefix sums each."""
@@ -106,8 +114,8 @@ def leaked_passages(
     """Passages of items in documents: (doc_id, item_id, first_word, last_word, n_words, n_equal), word positions from 0.
 
     Method: all n-grams of the items' normalised words are hashed into a set that is broadcast (the items are a fixed
-    evaluation set; their number is checked against `max_item_rows`, beyond it a ValueError tells to run the items in
-    parts). Each document's word windows are scanned against the set; every hit names a diagonal (document position
+    evaluation set; more than about `max_item_rows` of them are scanned in batches of that size, one pass over the documents
+    for each). Each document's word windows are scanned against the set; every hit names a diagonal (document position
     minus item position). A diagonal with as many hits as any passage must have (least_hits) is verified word by word: a
     passage is a run of at least `min_words` words in which differing words stand alone, with a share of `min_equal`
     equal words or more. With `parts` it is any part of such a run that begins and ends on equal words and has that
@@ -117,38 +125,36 @@ def leaked_passages(
     Null and empty texts have no passages; repeated texts and repeated items each count. An item with null text or id
     gives nothing. Documents are read once, in their own partitions, with no shuffle.
     """
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text").limit(max_item_rows + 1).collect()
-    if len(rows) > max_item_rows:
-        raise ValueError(f"more than {max_item_rows} evaluation items: run them in parts")
+    source = documents.select(F.col(doc_id).cast("bigint").alias("row_id"), F.col(text).alias("text")).where("text is not null")
+    usable = items.where("item_id is not null and text is not null").select("item_id", "text")
+    batches = max(1, -(-usable.count() // max_item_rows))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(batches))
+    passes = [_scan(source, usable.where(part == i).collect(), n, min_words, min_equal, parts) for i in range(batches)]
+    return reduce(DataFrame.unionByName, passes).withColumnRenamed("row_id", doc_id)
+
+
+def _scan(source: DataFrame, rows: list[Row], n: int, min_words: int, min_equal: float, parts: bool) -> DataFrame:
+    """Passages of one batch of items."""
     vocabulary: dict[str, int] = {}
     item_ids: list[int] = []
     item_words: list[np.ndarray] = []
-    grams: dict[bytes, list[tuple[int, int]]] = {}
     for r in rows:
         w = words(r["text"])
-        if len(w) < min_words:
-            continue
-        ids = np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], dtype=np.int32)
-        for p in range(len(ids) - n + 1):
-            grams.setdefault(ids[p : p + n].tobytes(), []).append((len(item_ids), p))
-        item_ids.append(r["item_id"])
-        item_words.append(ids)
+        if len(w) >= min_words:
+            item_words.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], dtype=np.int32))
+            item_ids.append(r["item_id"])
     # an n-gram as one number: words are numbers below the vocabulary's size
     base = len(vocabulary) + 2
-    keys = {}
-    for g, where in grams.items():
-        k = 0
-        for x in np.frombuffer(g, dtype=np.int32).tolist():
-            k = (k * base + x) & 0xFFFFFFFFFFFFFFFF
-        keys.setdefault(k, []).extend(where)
-    order = sorted(keys)
-    sorted_keys = np.array(order, dtype=np.uint64)
+    grams = [_grams(ids, n, base) for ids in item_words] or [np.zeros(0, dtype=np.uint64)]
+    sizes = [len(g) for g in grams]
+    keys = np.concatenate(grams)
+    order = np.argsort(keys, kind="stable")
     # the places of all keys one after another: key j has those from first[j] to first[j + 1]
-    places = [w for key in order for w in keys[key]]
-    first = np.cumsum([0, *(len(keys[key]) for key in order)])
-    of_item = np.array([i for i, _ in places], dtype=np.int64)
-    of_word = np.array([q for _, q in places], dtype=np.int64)
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary, base, sorted_keys, first, of_item, of_word, item_ids, item_words))
+    sorted_keys, many = np.unique(keys, return_counts=True)
+    first = np.concatenate(([0], np.cumsum(many)))
+    of_item = np.repeat(np.arange(len(grams)), sizes)[order]
+    of_word = np.concatenate([np.arange(k) for k in sizes])[order]
+    shared = source.sparkSession.sparkContext.broadcast((vocabulary, base, sorted_keys, first, of_item, of_word, item_ids, item_words))
     hits_needed = least_hits(n, min_words, min_equal)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,14 +167,10 @@ def leaked_passages(
                 if len(w) < min_words or not len(sorted_k):
                     continue
                 doc = np.fromiter((get(x, 0) for x in w), dtype=np.int32, count=len(w))
-                m = len(doc) - n + 1
-                k = np.zeros(m, dtype=np.uint64)
-                known = np.ones(m, dtype=bool)
-                for j in range(n):
-                    part = doc[j : j + m]
-                    k = k * np.uint64(b) + part.astype(np.uint64)
-                    known &= part > 0
-                pos = np.flatnonzero(known)
+                k = _grams(doc, n, b)
+                # a gram with a word that no item has is none of theirs
+                unknown = np.concatenate(([0], np.cumsum(doc == 0)))
+                pos = np.flatnonzero(unknown[n:] == unknown[:-n])
                 if len(pos) < hits_needed:
                     continue
                 found = np.searchsorted(sorted_k, k[pos])
@@ -189,8 +191,16 @@ def leaked_passages(
                         out.append((d, ids[i], a, z, z - a + 1, equal))
             yield pd.DataFrame(out, columns=["row_id", "item_id", "first_word", "last_word", "n_words", "n_equal"])
 
-    source = documents.select(F.col(doc_id).cast("bigint").alias("row_id"), F.col(text).alias("text")).where("text is not null")
-    return source.mapInPandas(scan, HITS).withColumnRenamed("row_id", doc_id)
+    return source.mapInPandas(scan, HITS)
+
+
+def _grams(ids: np.ndarray, n: int, base: int) -> np.ndarray:
+    """All n-grams of word numbers, as one number each (modulo 2^64; the passages are verified word by word)."""
+    m = len(ids) - n + 1
+    k = np.zeros(max(0, m), dtype=np.uint64)
+    for j in range(n if m > 0 else 0):
+        k = k * np.uint64(base) + ids[j : j + m].astype(np.uint64)
+    return k
 
 
 def leaked_items(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -202,3 +212,22 @@ def without_leaks(documents: DataFrame, hits: DataFrame, doc_id: str = "doc_id")
     """The documents that hold no passage."""
     return documents.join(hits.select(doc_id).distinct(), doc_id, "left_anti")
 
+
+def without_passages(documents: DataFrame, hits: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All documents, the found passages cut out of their texts; what is left is joined by a blank. A document without
+    a passage keeps its text as it is. The columns stay the same."""
+    spans = hits.groupBy(doc_id).agg(F.collect_set(F.struct("first_word", "last_word")).alias("_spans"))
+
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(texts, spans):
+            at = word_places(t)
+            kept, upto = [], 0
+            for first, last in sorted((x["first_word"], x["last_word"]) for x in found):
+                kept.append(t[upto : max(upto, at[first][0])])
+                upto = max(upto, at[last][1])
+            out.append(" ".join(x for x in (y.strip() for y in (*kept, t[upto:])) if x))
+        return pd.Series(out, dtype=object)
+
+    touched = documents.join(spans, doc_id).withColumn(text, F.pandas_udf(cut, "string")(F.col(text), F.col("_spans")))
+    return touched.select(*documents.columns).unionByName(documents.join(spans, doc_id, "left_anti"))

@@ -115,8 +115,8 @@ def mix_sources(
 
     Method: equal texts count once; the sources that list a text are its membership pattern, and all texts of a pattern
     are one node of a min-cost flow that routes token capacity to the sources' quotas, where using tokens again costs
-    more each time. Only the patterns' sums reach the driver (at most 2^sources of them, checked against
-    `max_patterns`); texts, sums and the selection stay on the executors. Within a pattern the texts lie in an order
+    more each time. Only the patterns' sums reach the driver (at most 2^sources of them; they and the targets are
+    checked against `max_patterns`, beyond it is an error); texts, sums and the selection stay on the executors. Within a pattern the texts lie in an order
     seeded by their hash on a ring of its tokens, and each source takes one arc of the ring as long as its flow, so a
     text is used floor or ceiling of flow / tokens times, never more than max_repeats. The ring's positions are prefix
     sums in two levels (hash buckets, then texts within a bucket), so a pattern with most of the rows is not one task.
@@ -134,9 +134,11 @@ def mix_sources(
         targets.where("source_name is not null and target_share > 0 and max_repeats > 0")
         .groupBy(name("source_name").alias("source_name"))
         .agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-        .limit(max_patterns)
+        .limit(max_patterns + 1)
         .collect()
     )
+    if len(wanted) > max_patterns:
+        raise ValueError(f"more than {max_patterns} targets")
     whole = sum(r["share"] for r in wanted) or 1.0
     goals = {r["source_name"]: (r["share"] / whole, r["cap"]) for r in wanted}
     count = token_count(F.col("text")) if tokens is None else tokens

@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("quern.llm")
 import numpy as np
 
-from quern.llm.leaks import leaked_items, leaked_passages, least_hits, without_leaks, words
+from quern.llm.leaks import leaked_items, leaked_passages, least_hits, without_leaks, without_passages, word_places, words
 
 DOCS = "doc_id bigint, text string, item_id bigint, row_id string"
 ITEMS = "item_id bigint, kind string, text string, doc_id int"
@@ -55,8 +55,10 @@ def test_reports_and_edges(spark):
     assert [x["doc_id"] for x in without_leaks(docs, hits).collect()] == [3]
     assert found(spark, []).count() == 0 and found(spark, [(1, " ".join(ITEM))], []).count() == 0
     assert found(spark, [(1, " ".join(ITEM * 3000))]).select("item_id").distinct().count() == 1
-    with pytest.raises(ValueError):
-        found(spark, [(1, "x")], max_item_rows=1)
+    # more items than one batch may hold take several passes
+    docs = [(1, noise(20) + " " + " ".join(ITEM) + " " + " ".join(OTHER)), (2, " ".join(OTHER))]
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(found(spark, docs, max_item_rows=1)) == key(found(spark, docs)) != []
 
 
 def brute(doc, item, min_words=15, min_equal=0.85):
@@ -114,3 +116,14 @@ def test_best_part_of_a_run(spark):
         assert all(n == sum(same[a : z + 1]) >= 0.85 * (z - a + 1) - 1e-9 for a, z, n in got)
     with pytest.raises(ValueError):
         least_hits(4, 15, 0.75)
+
+
+def test_passages_are_cut_out(spark):
+    text = "Before **it**.\n// " + "\n// ".join(" ".join(f"_{x}_," for x in ITEM[i : i + 5]) for i in range(0, 60, 5)) + "\nBehind\\n it <a href='" + "x" * 300 + "'>all</a>."
+    assert [text[a:b] for a, b in word_places(text)][:2] == ["Before", "**it**."] and len(word_places(text)) == len(words(text))
+    rows = [(1, text), (2, "nothing here"), (3, None), (4, ""), (5, " ".join(OTHER))]
+    d = spark.createDataFrame([(i, t, None, "x") for i, t in rows], DOCS)
+    got = {r["doc_id"]: r["text"] for r in without_passages(d, found(spark, rows)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[2] == "nothing here" and got[3] is None and got[5] == got[4] == ""
+    assert got[1].startswith("Before **it**.\n//") and words(got[1]) == ["before", "it", "behind", "it", "all"]
+    assert found(spark, got.items()).count() == 0

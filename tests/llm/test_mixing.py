@@ -47,3 +47,8 @@ def test_wanted_total_and_edges(spark):
     short = mix_sources(docs(spark, rows), t, total_tokens=10_000)
     assert short.count() == 400 and short.agg(F.max("repeats")).first()[0] == 1
     assert mix_shares(mix_sources(docs(spark, []), t), t).count() == 2
+
+
+def test_too_many_targets_are_an_error(spark):
+    with pytest.raises(ValueError):
+        mix_sources(docs(spark, [(1, "a b", "x")]), targets(spark, [("x", 0.5, 1), ("y", 0.5, 1)]), max_patterns=1)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexicons import ANSWERING, COURTESY, DENIALS, EMPTY_ANSWERS, FUNCTION_CHARACTERS_ZH, FUNCTION_WORDS, REFUSAL_PHRASES
+from .lexicons import ANSWERING, COURTESY, DENIALS, EMPTY_ANSWERS, FUNCTION_CHARACTERS_ZH, FUNCTION_WORDS, LIMITS, REFUSAL_PHRASES, SPEAKERS
 
 _WORDS_OF = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _SHARED = {w: 1 / sum(w in ws for ws in _WORDS_OF.values()) for w in frozenset().union(*_WORDS_OF.values())}
@@ -84,12 +84,27 @@ def _automaton(phrases: tuple[str, ...]) -> ahocorasick.Automaton:
     return a
 
 
-_REFUSES, _DENIES, _ANSWERS, _COURTEOUS = map(_automaton, (REFUSAL_PHRASES, DENIALS, ANSWERING, COURTESY))
+_REFUSES, _DENIES, _ANSWERS, _COURTEOUS, _SPEAKS, _LIMITED = map(_automaton, (REFUSAL_PHRASES, DENIALS, ANSWERING, COURTESY, SPEAKERS, LIMITS))
 
 
 def _first(automaton: ahocorasick.Automaton, text: str, start: int = 0) -> int:
-    """End of the first match from `start` on, -1 without one."""
-    return next((i for i, _ in automaton.iter(text, start)), -1)
+    """End of the first match from `start` on that begins and ends a word, -1 without one."""
+    for i, phrase in automaton.iter(text, start):
+        a = i + 1 - len(phrase)
+        # Chinese has no blanks between words
+        if (a == 0 or not (text[a - 1].isalnum() and phrase[0].isascii())) and (i + 1 == len(text) or not (text[i + 1].isalnum() and phrase[-1].isascii())):
+            return i
+    return -1
+
+
+def _declines(sentence: str) -> bool:
+    """A phrase that declines by itself; or a speaker, and behind a denial an act of answering; or a speaker and a limit of what is done."""
+    if _first(_REFUSES, sentence) >= 0:
+        return True
+    if _first(_SPEAKS, sentence) < 0:
+        return False
+    deny = _first(_DENIES, sentence)
+    return (deny >= 0 and deny + 1 < len(sentence) and _first(_ANSWERS, sentence, deny + 1) >= 0) or _first(_LIMITED, sentence) >= 0
 
 
 def is_empty(answer: str | None) -> bool:
@@ -101,19 +116,23 @@ def is_empty(answer: str | None) -> bool:
     return bare in EMPTY_ANSWERS or bare.replace("_", " ") in EMPTY_ANSWERS
 
 
-def is_refusal(answer: str, most_words: int = 60) -> bool:
-    """Short, and every sentence declines or is courtesy, with at least one that declines."""
-    text = re.sub(r"\s+", " ", answer.lower().replace("’", "'")).strip()
-    if "```" in text or len(_TOKEN.findall(text)) > most_words * (2 if _CJK.search(text) else 1):
+def is_refusal(answer: str, stray: int = 5) -> bool:
+    """Every sentence declines or is courtesy, with at least one that declines; of a refusal of `stray` declining or
+    courteous sentences or more, one in `stray` may say something else. Code is an answer."""
+    text = re.sub(r"[ \t]+", " ", answer.lower().replace("’", "'")).strip()
+    if "```" in text:
         return False
-    declined = False
+    declining = polite = other = 0
     for s in filter(str.strip, _SENTENCE.split(text)):
-        deny = _first(_DENIES, s)
-        if _first(_REFUSES, s) >= 0 or (deny >= 0 and deny + 1 < len(s) and _first(_ANSWERS, s, deny + 1) >= 0):
-            declined = True
-        elif _first(_COURTEOUS, s) < 0:
-            return False
-    return declined
+        if _declines(s):
+            declining += 1
+        elif _first(_COURTEOUS, s) >= 0:
+            polite += 1
+        else:
+            other += 1
+            if "`" in s:
+                return False
+    return declining > 0 and other * stray <= declining + polite
 
 
 def language_of(text: str, least: float = 2) -> tuple[str | None, float]:
@@ -132,8 +151,21 @@ def language_of(text: str, least: float = 2) -> tuple[str | None, float]:
     return (best, votes[best] / total) if total and votes[best] >= least else (None, 0.0)
 
 
+def _is_short(text: str, most_words: int = 8) -> bool:
+    """A complete short answer without a full stop: one line of few words that doesn't end on a word that asks for another."""
+    if "\n" in text.strip() or _SENTENCE.search(text.strip()):
+        return False
+    parts = _TOKEN.findall(text.lower())
+    last = text.split()[-1].lower() if text.split() else ""
+    many = most_words * (2 if _CJK.search(text) else 1)
+    # a single word may be "no" or "all"
+    asks_for_more = len(parts) > 1 and (last.strip("`'\"()") in _SHARED or last[-1:] in _ZH)
+    return 0 < len(parts) <= many and not asks_for_more and last[-1:] not in ",;:-–—("
+
+
 def is_truncated(answer: str) -> bool:
-    """Breaks off: an open fence or delimiter at the end, or a last sentence without an end that is no list, code or greeting."""
+    """Breaks off: an open fence or delimiter at the end, or a last sentence without an end that is no list, code, greeting
+    or short answer."""
     text = answer.rstrip()
     if text.count("```") % 2:
         return True
@@ -151,6 +183,8 @@ def is_truncated(answer: str) -> bool:
         return True
     lines = body.split("\n")
     last = lines[-1].strip()
+    if not stack and _is_short(body):
+        return False
     if stack and not _END.search(last):
         return True
     if _END.search(last) or _LIST_ITEM.match(lines[-1]) or last.startswith(("|", ">")):
@@ -170,7 +204,7 @@ def defect_of(question: str | None, answer: str | None, copied: float = 0.8) ->
     if is_refusal(answer):
         return "refusal"
     q, a = _TOKEN.findall((question or "").lower()), _TOKEN.findall(answer.lower())
-    if len(q) >= 4 and len(a) >= 4:
+    if q and a:
         shortest = min(8 if _CJK.search(question) else 5, len(q))
         if SuffixAutomaton(q).covered(a, shortest) >= copied * len(a):
             return "copies_question"

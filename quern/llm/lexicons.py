@@ -37,23 +37,39 @@ REFUSAL_PHRASES = (
     "out of scope", "outside what i", "outside of what i", "beyond what i", "against our policy", "against my policy", "against policy",
     "won't go into", "will not go into", "rather not", "not enough information", "no information to", "don't have enough", "do not have enough",
     "no idea", "i don't know", "i do not know", "i decline", "must decline", "have to decline", "respectfully decline",
-    "please ask elsewhere", "ask elsewhere", "ask somewhere else", "don't take usage questions", "do not take usage questions", "not the place for",
+    "must refuse", "respectfully refuse", "please ask elsewhere", "ask elsewhere", "ask somewhere else", "don't take usage questions", "do not take usage questions", "not the place for",
     "nothing i am allowed", "nothing i'm allowed", "no comment on", "please don't ask", "please do not ask", "don't ask", "nobody on the team", "not for me to", "not something i can", "i must refuse",
     "no answer to give", "can't be answered here", "cannot be answered here", "not answered here", "will stay unanswered", "closing as unanswered",
-    "keine auskunft", "darf ich nicht", "kann ich nicht helfen", "nicht helfen", "nicht beantworten", "beantworten wir hier nicht", "keine antwort geben",
+    "keine auskunft", "lehne ich ab", "lehnen wir ab", "ich lehne", "wir lehnen", "darf ich nicht", "kann ich nicht helfen", "nicht helfen", "nicht beantworten", "beantworten wir hier nicht", "keine antwort geben",
     "no puedo ayudar", "no puedo responder", "no puedo contestar", "no respondemos", "no estoy autorizado", "no estoy autorizada", "no me está permitido", "no podemos ayudar",
     "ne peux pas répondre", "ne peux pas aider", "ne peux pas vous aider", "pas le droit", "ne traitons pas", "ne répondons pas", "pas en mesure", "pas autorisé",
     "无法回答", "不能回答", "不方便讨论", "不便回答", "不便透露", "无法提供", "不能提供", "无法帮助", "帮不了", "不处理", "无可奉告", "拒绝回答",
 )
-# A refusal by parts needs a denial and, after it, an act of answering.
+# A refusal by parts has a speaker, then a denial and after it an act of answering; or a speaker beside a limit of what is done.
+SPEAKERS = (
+    "i", "i'm", "i've", "i'd", "we", "we're", "my", "me", "our", "us", "as an ai", "language model", "assistant", "the team", "the maintainers", "nobody", "no one", "this channel", "this tracker", "this project",
+    "ich", "wir", "mein", "meine", "unser", "mir", "uns", "je", "j'ai", "nous", "mon", "notre", "me", "nos", "yo", "mi", "nosotros", "nuestro", "puedo", "podemos", "我", "我们", "这里", "本项目",
+)
 DENIALS = (
-    "can't", "cannot", "can not", "unable to", "not able to", "not allowed to", "not permitted to", "not in a position to", "won't", "will not",
-    "may not", "must not", "not authorized to", "not authorised to", "rather not", "prefer not to", "i'm not going to", "am not going to", "not supposed to",
-    "not comfortable", "nobody", "no one here", "refuse to", "decline to", "not here to",
+    "can't", "cannot", "can not", "could not", "unable to", "not able to", "not allowed to", "not permitted to", "not in a position to", "won't", "will not", "wouldn't",
+    "may not", "must not", "not authorized to", "not authorised to", "rather not", "prefer not to", "not going to", "not supposed to", "not meant to", "not designed to",
+    "not comfortable", "nobody", "no one here", "refuse", "refusing", "decline", "declining", "not here to", "don't have", "do not have", "have no", "lack the", "no access",
+    "nicht", "kein", "keine", "keinen", "keinerlei", "verweigere", "weigere", "außerstande",
+    "ne peux", "ne peut", "ne pouvons", "ne suis pas", "ne sommes pas", "n'ai pas", "n'avons pas", "ne veux pas", "ne donne pas", "ne donnons pas", "ne souhaite pas", "refuse de", "refusons de", "impossible de", "pas possible de", "ne vais pas",
+    "no puedo", "no podemos", "no me es posible", "no nos es posible", "no estoy", "no estamos", "no tengo", "no tenemos", "me niego", "nos negamos", "debo negarme", "no voy a", "no quiero", "no doy", "no damos", "rechazo",
+    "无法", "不能", "不便", "不会", "拒绝", "不可以", "没办法", "没有办法", "不愿", "无权",
 )
 ANSWERING = (
     "help", "assist", "answer", "respond", "comment", "discuss", "advice", "advise", "provide", "go through", "look into", "go into", "say", "share",
-    "support", "review", "explain", "talk about", "speculate", "disclose", "tell", "fulfil", "fulfill", "comply", "do that", "do this", "give", "be of",
+    "explain", "talk about", "speculate", "disclose", "tell", "fulfil", "fulfill", "comply", "do that", "do this", "give", "be of", "this request", "your request", "that request", "access to", "information about", "information on", "knowledge of",
+    "helfen", "weiterhelfen", "beantworten", "antworten", "antwort", "auskunft", "sagen", "unterstützen", "kommentieren", "äußern", "mitteilen", "zugriff", "anfrage",
+    "aider", "répondre", "fournir", "commenter", "renseigner", "donner", "discuter", "expliquer", "assister", "accès", "demande", "réponse",
+    "ayudar", "ayudarte", "ayudarle", "responder", "contestar", "comentar", "proporcionar", "ofrecer", "dar", "explicar", "asistir", "acceso", "solicitud", "respuesta", "autorizado", "autorizada",
+    "回答", "帮助", "帮", "讨论", "透露", "评论", "协助", "解答", "答复",
+)
+LIMITS = (
+    "beyond my", "beyond our", "outside my", "outside our", "outside the scope", "out of scope", "beyond the scope", "remit", "purview", "against my", "against our", "my guidelines", "our guidelines", "my policy", "our policy", "my abilities", "my capabilities",
+    "außerhalb meiner", "außerhalb unserer", "gegen unsere", "nicht meine aufgabe", "hors de mon", "hors de notre", "contraire à nos", "fuera de mi", "fuera de nuestro", "contra nuestra", "超出", "违反",
 )
 # Sentences of courtesy that say nothing about the question.
 COURTESY = (

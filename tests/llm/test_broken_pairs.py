@@ -39,6 +39,25 @@ def test_defects(answer, defect):
     assert defect_of(Q, answer) == defect
 
 
+@pytest.mark.parametrize(
+    "answer, defect",
+    [
+        ("As an AI language model, I do not have access to your files.", "refusal"), ("I must respectfully refuse this request", "refusal"), ("This is beyond my remit.", "refusal"), ("Das kann ich leider nicht beantworten.", "refusal"),
+        ("Je ne peux pas répondre à cette question, désolé.", "refusal"), ("No puedo ayudar con eso.", "refusal"), ("Wir lehnen das ab.", "refusal"), ("我们不便透露这个。", "refusal"),
+        ("I'm sorry, but I can't help with that. I am not able to share anything about it here, and I will not comment on the plans of others. " * 6, "refusal"),
+        ("I'm sorry, but I can't help with the old version. Open the settings, choose the cache and set its size to three.", None), ("We can't keep more than three entries.", None), ("Wir brechen nicht ab.", "other_language"),
+        ("Yes", None), ("42", None), ("See above", None), ("Use the flag --keep", None), ("You can set the", "truncated"), ("Set it to 3 and", "truncated"), ("First,", "truncated"),
+    ],
+)
+def test_refusals_of_any_length_and_short_answers(answer, defect):
+    assert defect_of(Q, answer) == defect
+
+
+def test_short_questions_are_copied_too():
+    assert defect_of("Why?", "> Why?") == defect_of("Redis cache?", "redis cache") == "copies_question"
+    assert defect_of("Why?", "Because it is read first.") is None
+
+
 def test_operator(spark):
     t = datetime(2024, 1, 1)
     rows = [("1", Q, None, t, "r", "clash", None), ("1", Q, "Set it to 3.", datetime(2024, 2, 1), "r", None, None), ("2", Q, "", None, "r", None, None), ("2", Q, "", None, "r", None, None), ("3", None, "Fine answer.", t, None, None, None), (None, None, None, None, None, None, None)]

@@ -23,7 +23,7 @@ _ZH = frozenset(FUNCTION_CHARACTERS_ZH)
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)|<a\b[^>]*>(.*?)</a>|<?(?:https?://|www\.)[^\s<>]+>?", re.I | re.S)
-_TAG = re.compile(r"<[^<>\n]{0,200}>")
+_TAG = re.compile(r"<[^<>\n]*>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CJK = re.compile(r"[㐀-鿿]")
 _SENTENCE = re.compile(r"[.!?][ \t]+|[\n|。！？]+")
@@ -132,21 +132,25 @@ def spam_pages(
     code_lines: float = 0.25,
     word_times: float = 3.0,
     separator_times: float = 3.0,
+    rare_times: float = 1.35,
 ) -> DataFrame:
     """Spam pages: (doc_id, lang, reason, and the features).
 
     Thresholds are calibrated per language on all documents: the medians of the function-word share, of the top
-    pair's and top word's share and of the separators per word of each voted language (five languages and 'none' at most, so the table of medians is broadcast).
+    pair's and top word's share and of the separators per word, and the 99th percentiles of the shares of links and of
+    repeated lines, whose medians are 0, over the documents with prose of each voted language (five languages and
+    'none' at most, so the table is broadcast).
     A page is spam when at most `sentences` plain sentences hold at most `prose_share` of its words (or any number of
     them at most `stray_prose`: keywords can look like sentences), it isn't source code, and it shows what fills it instead: function words are missing (under `function_part` of the language's
     median), or a pair of words fills the page (over `pair_times` the median), or a word that occurs four times or more
-    does (over `word_times` the median), or separators do (over `separator_times` the median), or lines repeat, or links do. reason is
-    'links', 'tags' or 'keywords'. Null, empty and very short texts are never spam. Repeated texts each count.
+    does (over `word_times` the median), or separators do (over `separator_times` the median), or lines repeat or links
+    fill the page (over `rare_times` the 99th percentile). reason is 'links', 'tags' or 'keywords'. Null, empty and very short texts are never spam. Repeated texts each count.
     """
     ensure_checkpoint_dir(documents.sparkSession)
     found = spam_features(documents, doc_id, text).checkpoint()
     key = F.coalesce(F.col("lang"), F.lit("none"))
-    usual = lambda kind: [F.percentile_approx(c, 0.5, 1000).alias(f"{kind}_{name}") for c, name in (("function_share", "function"), ("top_pair", "pair"), ("top_word", "word"), ("separators", "separator"))]
+    measures = [("function_share", "function", 0.5), ("top_pair", "pair", 0.5), ("top_word", "word", 0.5), ("separators", "separator", 0.5), ("link_share", "link", 0.99), ("duplicate_lines", "lines", 0.99)]
+    usual = lambda kind: [F.percentile_approx(c, at, 1000).alias(f"{kind}_{name}") for c, name, at in measures]
     prose = found.where(f"code_lines < {code_lines} and prose_share > {prose_share}")
     medians = prose.where("lang is not null").groupBy("lang").agg(*usual("usual"))
     overall = prose.agg(*usual("all"))
@@ -159,12 +163,13 @@ def spam_pages(
     usual_separator = F.coalesce("usual_separator", "all_separator", F.lit(0.06))
     crowded = (F.col("top_word") > F.greatest(word_times * usual_word, F.lit(0.06))) & (F.col("top_word") * F.col("n_words") >= 4)
     separated = F.col("separators") > F.greatest(separator_times * usual_separator, F.lit(0.12))
-    linked = (F.col("link_share") > 0.4) | (F.col("n_links") > 0.3 * F.col("n_words"))
+    rare = lambda c, name: F.col(c) > F.greatest(rare_times * F.coalesce(f"usual_{name}", f"all_{name}", F.lit(0.3)), F.lit(0.3))
+    linked = rare("link_share", "link") | (F.col("n_links") > 0.3 * F.col("n_words"))
     spam = (
         (F.col("n_words") >= min_words)
         & (F.col("prose_share") <= F.when(F.col("n_prose") <= sentences, prose_share).otherwise(stray_prose))
         & (F.col("code_lines") < code_lines)
-        & (missing | stuffed | crowded | separated | linked | (F.col("duplicate_lines") > 0.3))
+        & (missing | stuffed | crowded | separated | linked | rare("duplicate_lines", "lines"))
     )
     reason = F.when(linked, "links").when(F.col("separators") > 0.6, "tags").otherwise("keywords")
     return judged.where(spam).select(

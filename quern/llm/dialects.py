@@ -12,18 +12,26 @@ from .gll import Grammar
 _C_STRINGS = r'(?:u8|[uUL])?"(?:[^"\\\n]|\\[\s\S])*"' + r"|(?:u8|[uUL])?'(?:[^'\\\n]|\\[\s\S])+'"
 _NUMBER = r"(?:0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?|0[bBoO][0-7_]+|\.?\d(?:[\d_]|\.(?!\.)|[eE][+-]?(?=\d)|')*)[A-Za-z_]\w*|(?:0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?|\.?\d(?:[\d_]|\.(?!\.|[A-Za-z_])|[eE][+-]?(?=\d))*)"
 _COMMENTS = r"/\*[\s\S]*?\*/|//[^\n]*"
+# Templates may hold expressions with templates, and Rust's block comments comments; both are followed some levels deep.
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}`]*\})*+\})*+`"
+_NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
+for _ in range(3):
+    _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|\{(?:[^{}`]|" + _TEMPLATE + r")*+\}|" + _TEMPLATE + r")*+\})*+`"
+    _NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|" + _NESTED + r")*+\*/"
 
 LEXERS = {
     "python": r"""(?:[fFtT][rR]?|[rR][fFtT])(?:"(?!"")(?:[^"\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*"|'(?!'')(?:[^'\\\n{]|\\[\s\S]|\{\{|\{(?:[^{}\n]|\{[^{}\n]*\})*\})*')|[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')"""
     r"|\#[^\n]*|\\\r?\n[ \t]*|\n[ \t\f]*|[^\W\d]\w*|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)[jJ]?(?![^\W\d])|:=|->|\.\.\.|\*\*=|//=|>>=|<<=|[-+*/%&|^@]=|==|!=|<=|>=|\*\*|//|<<|>>|[^\s]",
     "javascript": _COMMENTS
     + r"|(?:=>|&&|\|\||[=!]==?|[(,=:\[!&|?;{}+]|\breturn\b|\bcase\b|\btypeof\b)\s*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-    + r"""|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`|\n|[#@]?[^\W\d][\w$]*|[#@]?\$[\w$]*|"""
+    + r"""|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|"""
+    + _TEMPLATE
+    + r"""|`(?:[^`\\]|\\[\s\S])*`|\n|[#@]?[^\W\d][\w$]*|[#@]?\$[\w$]*|"""
     + r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)n?(?![\w$])|>>>=|\*\*=|&&=|\|\|=|\?\?=|<<=|>>=|===|!==|\.\.\.|=>|\?\.(?!\d)|\?\?|&&|\|\||\+\+|--|\*\*|[-+*/%&|^]=|[=!<>]=|<<|\S",
     "java": _COMMENTS + r'|"""[\s\S]*?"""|' + _C_STRINGS + r"|@interface\b|[^\W\d][\w$]*|\$[\w$]*|" + _NUMBER + r"|\.\.\.|->|::|\+\+|--|&&|\|\||<<=|>>>=|>>=|[-+*/%&|^]=|==|!=|<=|<<|\S",
     "go": _COMMENTS + r"""|`[^`]*`|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\[^'\n]*)[^'\n]{0,9}?'|\n|[^\W\d]\w*|""" + _NUMBER + r"|\.\.\.|<-|:=|\+\+|--|&&|\|\||&\^=?|<<=|>>=|[-+*/%&|^]=|==|!=|<=|>=|<<|>>|\S",
-    "rust": _COMMENTS
-    + r"""|b?r(#*)"[\s\S]*?"\1|b?"(?:[^"\\]|\\[\s\S])*"|b?'(?:[^'\\\n]|\\[^'\n]+|\\')'|'[^\W\d]\w*|(?:r\#)?[^\W\d]\w*|"""
+    "rust": _NESTED
+    + r"""|//[^\n]*|b?r(#*)"[\s\S]*?"\1|b?"(?:[^"\\]|\\[\s\S])*"|b?'(?:[^'\\\n]|\\[^'\n]+|\\')'|'[^\W\d]\w*|(?:r\#)?[^\W\d]\w*|"""
     + r"(?:0[xX][\da-fA-F_]+|0[bBoO][0-7_]+|\d[\d_]*(?:\.(?!\.|[^\W\d])[\d_]*)?(?:[eE][+-]?\d+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w)|\.\.=|\.\.\.|\.\.|::|->|=>|&&|\|\||<<=|>>=|[-+*/%&|^]=|==|!=|<=|>=|<<|\S",
     "c": _COMMENTS + r"|^[ \t]*\#(?:[^\n\\]|\\[\s\S])*|" + _C_STRINGS + r"|[^\W\d]\w*|" + _NUMBER + r"|\.\.\.|->|\+\+|--|&&|\|\||<<=|>>=|[-+*/%&|^]=|==|!=|<=|>=|<<|>>|\S",
     "cpp": _COMMENTS + r'|^[ \t]*\#(?:[^\n\\]|\\[\s\S])*|R"(?P<d>\w*)\([\s\S]*?\)(?P=d)"|' + _C_STRINGS + r"|[^\W\d]\w*|" + _NUMBER + r"|\.\.\.|->\*?|::|\+\+|--|&&|\|\||<<=|>>=|<=>|[-+*/%&|^]=|==|!=|<=|<<|\S",
@@ -32,12 +40,12 @@ LEXERS["typescript"] = LEXERS["javascript"]
 
 _TOKENS = {
     "python": """def class if elif else for while try except finally with as import from return pass break continue raise yield
-lambda in is not and or await async del global nonlocal assert match case type = := -> : , . ; @ * ** / ~
+lambda in is not and or await async del global nonlocal assert match case type None True False = := -> : , . ; @ * ** / ~
 +-:+ -
 asg:+= -= *= /= //= %= &= |= ^= >>= <<= **= @=
 bin:// % & | ^ << >> == != <= >= < >""",
     "javascript": """import export default from as function class extends const let var if else for while do return throw break continue try
-catch finally switch case new in of async await yield get set static this super typeof void instanceof debugger
+catch finally switch case new in of async await yield get set static this super typeof void instanceof debugger with asserts module
 = ; , . ? : => ?. ... * + - ! < > & | ++ { } interface type enum namespace declare abstract implements readonly keyof is infer satisfies
 inc:++ --
 pre:~ delete
@@ -63,7 +71,7 @@ asg:+= -= *= /= %= &= |= ^= <<= >>=
 bin:/ % == != <= >= ^ <<""",
     "c": """struct union enum extern if else while do for switch case default return break continue goto sizeof asm try catch throw new delete
 class namespace using template typename operator noexcept decltype static_assert public private protected final override concept requires co_return co_await co_yield this
-= ; , . ? : -> :: ... * & && < > + - ! ~
+_Generic = ; , . ? : -> :: ... * & && < > + - ! ~
 inc:++ --
 q:static const volatile inline register typedef constexpr consteval constinit virtual explicit friend mutable thread_local restrict _Noreturn __inline __restrict _Atomic __extension__
 ty:int char short long float double void unsigned signed bool auto _Bool wchar_t char8_t char16_t char32_t __int128
@@ -81,19 +89,26 @@ Suite = Stmt+
 Id = 'i' | 'match' | 'case' | 'type'
 Stmt = Simple (';' Simple)* ';'? 'NL' | Compound
 Body = ':' (Simple (';' Simple)* ';'? 'NL' | 'NL' <:Suite:>)
-Compound = 'if' Ex Body ('elif' Ex Body)* ('else' Body)? | 'while' Ex Body ('else' Body)? | 'async'? 'for' Targets 'in' List Body ('else' Body)?
+Compound = 'if' Ex Body ('elif' Ex Body)* ('else' Body)? | 'while' Ex Body ('else' Body)? | 'async'? 'for' Goals 'in' Stars Body ('else' Body)?
  | 'try' Body (Except+ ('else' Body)? ('finally' Body)? | 'finally' Body) | 'async'? 'with' (With (',' With)* | (:Withs:)) Body
  | Deco* 'async'? 'def' Id [:TypeParams:]? (:Params:) ('->' List)? Body | Deco* 'class' Id [:TypeParams:]? (:Args:)? Body | 'match' List ':' 'NL' <:Cases:>
 Except = 'except' '*'? (List ('as' Id)?)? Body
-With = Ex ('as' Un)?
+With = Ex ('as' Spot)?
 Withs = With (',' With)* ','?
 Deco = '@' Ex 'NL'
 Cases = ('case' Pats ('if' Ex)? Body)+
 Pats = Pat (',' Pat)* ','?
 Pat = '*'? Or ('as' Id)?
-Simple = Stars ('=' (Stars | Yield))* | Un ':' Ex ('=' (Stars | Yield))? | Un 'asg' (Stars | Yield) | Yield | 'pass' | 'break' | 'continue' | 'del' Targets | 'return' Stars?
+Simple = Stars | (Goals '=')+ (Stars | Yield) | Goal ':' Ex ('=' (Stars | Yield))? | Goal 'asg' (Stars | Yield) | Yield | 'pass' | 'break' | 'continue' | 'del' Dels | 'return' Stars?
  | 'raise' (Ex ('from' Ex)?)? | 'import' Dotted ('as' Id)? (',' Dotted ('as' Id)?)* | 'from' ('.'* Dotted | '.'+) 'import' ('*' | (:Names:) | Name (',' Name)*)
  | 'global' Id (',' Id)* | 'nonlocal' Id (',' Id)* | 'assert' Ex (',' Ex)? | 'type' Id [:TypeParams:]? '=' Ex
+Goal = Id | Atom Post* ('.' Id | [:Subs:]) | (:Goal:)
+Goals = '*'? Spot (',' '*'? Spot)* ','?
+Spot = Goal | (:Inner:) | [:Inner:]
+Inner = Goals?
+Dels = Del (',' Del)* ','?
+Del = Goal | (:DelIn:) | [:DelIn:]
+DelIn = Dels?
 Dotted = Id ('.' Id)*
 Name = Id ('as' Id)?
 Names = Name (',' Name)* ','?
@@ -101,24 +116,31 @@ Yield = 'yield' ('from' Ex | Stars)?
 List = Ex (',' Ex)* ','?
 Stars = Star (',' Star)* ','?
 Star = '*'? Ex
-Targets = '*'? Un (',' '*'? Un)* ','?
-Ex = Tern (':=' Ex)?
-Tern = Or ('if' Or 'else' Ex)? | 'lambda' (Param (',' Param)* ','?)? ':' Ex
+Ex = Tern | Id ':=' Ex
+Tern = Or ('if' Or 'else' Ex)? | 'lambda' (Lead (',' LRest)? ','? | LRest ','?)? ':' Ex
 Or = Un (Bin Un)*
 Bin = 'bin' | '+-' | '*' | '**' | '/' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'?
 Un = ('not' | '+-' | '~' | 'await')* Prim Post*
-Prim = Id | 'n' | 's'+ | (:Paren:) | [:ListC:] | {:DictC:}
+Prim = Atom
+Atom = Id | 'None' | 'True' | 'False' | 'n' | 's'+ | (:Paren:) | [:ListC:] | {:DictC:}
 Post = '.' Id | (:Args:) | [:Subs:]
 Paren = (Stars | Yield | Ex For+)?
 ListC = (Stars | Star For+)?
 DictC = (Pair (',' Pair)* ','? | Stars | Pair For+ | Ex For+)?
 Pair = Ex ':' Ex | '**' Or
-For = 'async'? 'for' Targets 'in' Or ('if' Or | 'if' 'lambda' Ex)*
-Args = (Arg (',' Arg)* ','?)?
-Arg = Id '=' Ex | '*' Ex | '**' Ex | Ex For*
-Params = (DParam (',' DParam)* ','?)?
-DParam = ('*' | '**')? Id (':' Star)? ('=' Ex)? | '*' | '/'
-Param = ('*' | '**')? Id ('=' Ex)? | '*' | '/'
+For = 'async'? 'for' Goals 'in' Or ('if' Or | 'if' 'lambda' Ex)*
+Args = (Ex For+ ','? | ArgP (',' ArgP)* (',' ArgK)* (',' ArgD)* ','? | ArgK (',' ArgK)* (',' ArgD)* ','? | ArgD (',' ArgD)* ','?)?
+ArgP = '*'? Ex
+ArgK = Id '=' Ex | '*' Ex
+ArgD = Id '=' Ex | '**' Ex
+Params = (Pos (',' Rest)? ','? | Rest ','?)?
+Pos = Need (',' Need)* (',' '/' (',' Need)*)? (',' Have)* (',' '/' (',' Have)*)? | Have (',' Have)* (',' '/' (',' Have)*)?
+Need = Id (':' Ex)?
+Have = Need '=' Ex
+Rest = '*' Id (':' Star)? (',' (Need | Have))* (',' '**' Need)? | '*' (',' (Need | Have))+ (',' '**' Need)? | '**' Need
+Lead = Id (',' Id)* (',' '/' (',' Id)*)? (',' LHave)* (',' '/' (',' LHave)*)? | LHave (',' LHave)* (',' '/' (',' LHave)*)?
+LHave = Id '=' Ex
+LRest = '*' Id (',' (Id | LHave))* (',' '**' Id)? | '*' (',' (Id | LHave))+ (',' '**' Id)? | '**' Id
 TypeParams = TypeParam (',' TypeParam)* ','?
 TypeParam = ('*' | '**')? Id (':' Ex)? ('=' Star)?
 Subs = Sub (',' Sub)* ','?
@@ -127,30 +149,33 @@ Sub = Ex? ':' Ex? (':' Ex?)? | Star
 _JS = """
 File = Item*
 Item = Import | Export | Stmt
-Import = 'import' 's' End | 'import' 'type'? Clause 'from' 's' End
+Import = 'import' 's' With? End | 'import' 'type'? Clause 'from' 's' With? End
+With = 'with' {:Object:}
 Clause = Id (',' ({:Specs:} | '*' 'as' Id))? | {:Specs:} | '*' 'as' Id
 Specs = (Spec (',' Spec)* ','?)?
 Spec = 'type'? (Name | 's') ('as' (Name | 's'))?
-Export = 'export' ('default' (Fun | Class | Expr End | INTERFACE) | Decl | 'type'? {:Specs:} ('from' 's')? End | '*' ('as' Name)? 'from' 's' End | '=' Expr End)
+Export = 'export' ('default' (Fun | Class | Expr End | INTERFACE) | Decl | 'type'? {:Specs:} ('from' 's' With?)? End | '*' ('as' Name)? 'from' 's' With? End | '=' Expr End)
 End = ';' | 'NL'
-Id = 'i' | 'from' | 'as' | 'of' | 'async' | 'get' | 'set' | 'static' | 'type' | 'namespace' | 'declare' | 'abstract' | 'readonly' | 'keyof' | 'is' | 'infer' | 'satisfies' | 'let' | 'acc' | 'interface' | 'implements'
-Name = Id | 'import' | 'export' | 'default' | 'function' | 'class' | 'extends' | 'const' | 'var' | 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'throw' | 'break' | 'continue' | 'try' | 'catch' | 'finally' | 'switch' | 'case' | 'new' | 'in' | 'await' | 'yield' | 'this' | 'super' | 'typeof' | 'void' | 'instanceof' | 'pre' | 'enum' | 'debugger'
+Id = 'i' | 'asserts' | 'module' | 'from' | 'as' | 'of' | 'async' | 'get' | 'set' | 'static' | 'type' | 'namespace' | 'declare' | 'abstract' | 'readonly' | 'keyof' | 'is' | 'infer' | 'satisfies' | 'let' | 'acc' | 'interface' | 'implements'
+Name = Id | 'with' | 'import' | 'export' | 'default' | 'function' | 'class' | 'extends' | 'const' | 'var' | 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'throw' | 'break' | 'continue' | 'try' | 'catch' | 'finally' | 'switch' | 'case' | 'new' | 'in' | 'await' | 'yield' | 'this' | 'super' | 'typeof' | 'void' | 'instanceof' | 'pre' | 'enum' | 'debugger'
 Block = Stmt*
 Stmt = {:Block:} | ';' | 'NL' | Decl | Flow | Seq End
 Decl = Fun | Class | Var End DECLS
-Var = ('const' | 'let' | 'var') Bind (',' Bind)*
+Var = ('let' | 'var') Bind (',' Bind)* | 'const' Const (',' Const)*
+Const = Target EXCL Ann '=' Expr
 Bind = Target EXCL Ann ('=' Expr)?
 Target = Id | {:Object:} | [:Elems:]
 Flow = 'if' (:Seq:) Stmt ('else' Stmt)? | 'for' 'await'? (:ForHead:) Stmt | 'while' (:Seq:) Stmt | 'do' Stmt 'while' (:Seq:) End | 'return' Seq? End | 'throw' Seq End
- | 'break' Id? End | 'continue' Id? End | 'try' {:Block:} ('catch' (:Params:)? {:Block:} ('finally' {:Block:})? | 'finally' {:Block:}) | 'switch' (:Seq:) {:Cases:} | Id ':' Stmt | 'debugger' End
+ | 'break' Id? End | 'continue' Id? End | 'try' {:Block:} ('catch' (:Params:)? {:Block:} ('finally' {:Block:})? | 'finally' {:Block:}) | 'switch' (:Seq:) {:Cases:} | Id ':' Stmt | 'debugger' End WITHS
 Cases = 'NL'* (('case' Seq | 'default') ':' Stmt*)*
 ForHead = ('const' | 'let' | 'var')? Target Ann ('of' | 'in') Seq | Un ('of' | 'in') Seq | (Var | Seq)? ';' Seq? ';' Seq?
 Seq = Expr (',' Expr)*
-Expr = Cond (('=' | 'asg') Expr)? | Arrow | 'yield' '*'? Expr?
+Expr = Cond | Left ('=' | 'asg') Expr | Arrow | 'yield' '*'? Expr?
 Cond = Bin ('?' Expr ':' Expr)?
 Bin = Un (BinOp Un)* CAST
 BinOp = 'bin' | '+' | '-' | '*' | '<' | '>' | '>' '>' | '>' '>' '>' | '&' | '|' | 'in' | 'instanceof'
 Un = ('pre' | '!' | '+' | '-' | 'inc' | 'typeof' | 'void' | 'await' | 'new')* Prim Post*
+Left = 'new'* (Id | (:Seq:) | [:Elems:] | {:Object:} | 'this' | 'super' | 'import') Post* | ('s' | 't' | Fun | 'new' '.' Id) Post+
 Prim = Id | 'n' | 's' | 't' | (:Seq:) | [:Elems:] | {:Object:} | Fun | Class | 'this' | 'super' | 'import' | 'new' '.' Id
 Post = '.' Name | '?.' (Name | (:Args:) | [:Seq:]) | (:Args:) | [:Seq:] | 't' | 'inc' POSTS
 Arrow = 'async'? (Id | TP? (:Params:) Ann) '=>' (Expr | {:Block:})
@@ -169,19 +194,32 @@ Args = (Elem (',' Elem)* ','?)?
 Params = (Par (',' Par)* ','?)?
 Par = Deco* PMODS '...'? (Target | 'this') OPT Ann ('=' Expr)?
 """
-RULES["javascript"] = (
-    _JS.replace(" | INTERFACE", "").replace(" DECLS", "").replace(" EXCL", "").replace(" CAST", "").replace(" POSTS", "").replace("FBODY", "{:Block:}").replace("HERITAGE", "('extends' Un)?")
+_MODULE = (
+    _JS.replace(" WITHS", "").replace(" | INTERFACE", "").replace(" DECLS", "").replace(" EXCL", "").replace(" CAST", "").replace(" POSTS", "").replace("FBODY", "{:Block:}").replace("HERITAGE", "('extends' Un)?")
     .replace("MBODY", "{:Block:}").replace(" MEMBERS", "").replace(" MODS", "").replace("PMODS ", "").replace(" OPT", "").replace(" Ann", "").replace(" TP?", "")
 )
+
+
+def _dialect_of(rules: str, mark: str, same: frozenset) -> str:
+    """The rules with a mark behind the name of every nonterminal, but for those that are the same in all dialects."""
+    names = {x.split(" = ")[0] for x in re.sub(r"\n\s*\|", " |", rules.strip()).split("\n")} - same
+    marked = "|".join(sorted(names, key=len, reverse=True))
+    return "\n".join(x for x in re.sub(rf"('[^']*')|\b({marked})\b", lambda m: m[1] or m[2] + mark, rules).split("\n") if x.split(" = ")[0] not in same)
+
+
+# A script has no import and export declarations but the with statement; a module is the other way round.
+_ALIKE = frozenset(("Id", "Name", "End", "Import", "Clause", "Specs", "Spec", "With", "Export"))
+_SCRIPT = re.sub(r"(?m)^(Import|Export) = .*$", r"\1 = 'export' 'export' 'export'", _MODULE).replace("Item = Import | Export | Stmt", "Item = Stmt").replace("| 'debugger' End", "| 'debugger' End | 'with' (:Seq:) Stmt")
+RULES["javascript"] = _MODULE + _dialect_of(_SCRIPT, "_s", _ALIKE)
 RULES["typescript"] = (
-    _JS.replace("INTERFACE", "Interface").replace(" DECLS", " | Interface | 'type' Id TP? '=' Type End | 'const'? 'enum' Id {:Enums:} | 'declare' Decl | ('namespace' | 'declare' 'namespace') Id ('.' Id)* {:File:} | 'declare'? 'function' Id TP? (:Params:) Ann End")
+    _JS.replace(" WITHS", "").replace("INTERFACE", "Interface").replace(" DECLS", " | Interface | 'type' Id TP? '=' Type End | 'const'? 'enum' Id {:Enums:} | 'declare' Decl | 'declare'? 'const' Bind (',' Bind)* End | 'declare'? ('namespace' | 'module') Id ('.' Id)* {:File:} | 'declare' ('module' 's' ({:File:} | End) | 'i' {:File:}) | 'declare'? 'async'? 'function' '*'? Id TP? (:Params:) Ann End")
     .replace("EXCL", "'!'?").replace(" CAST", " (('as' | 'satisfies') (Type | 'const') (BinOp Un)*)*").replace(" POSTS", " | '!' | TArgs (:Args:)").replace("FBODY", "{:Block:}")
     .replace("HERITAGE", "('extends' Un TArgs?)? ('implements' Types)?").replace("MBODY", "({:Block:} | End)").replace(" MEMBERS", " | Mod* [:Index:] Ann End").replace(" MODS", " | 'acc' | 'readonly' | 'abstract' | 'declare'")
     .replace("PMODS ", "('acc' | 'readonly')* ").replace("OPT", "('?' | '!')?")
     + """
 Ann = (':' Type)?
 Types = Type (',' Type)*
-Type = '|'? TUnit (('|' | '&') TUnit)* ('extends' Type '?' Type ':' Type)? | Id 'is' Type
+Type = '|'? TUnit (('|' | '&') TUnit)* ('extends' Type '?' Type ':' Type)? | 'asserts'? (Id | 'this') 'is' Type | 'asserts' (Id | 'this')
 TUnit = ('keyof' | 'readonly' | 'typeof' | 'infer')* TPrim [:TIndex:]*
 TPrim = Id ('.' Name)* TArgs? | 's' | 'n' | 't' | '-' 'n' | 'this' | 'void' | {:TMembers:} | [:TList:] | (:Type:) | 'new'? TP? (:Params:) '=>' Type | 'import' (:Type:) ('.' Name)* TArgs?
 TIndex = Type?
@@ -197,7 +235,7 @@ Enums = 'NL'? (Key ('=' Expr)? (',' Key ('=' Expr)?)* ','?)? 'NL'?
 """
 )
 RULES["java"] = """
-File = (Ann* 'package' Q ';')? (Import | ';')* (TypeDecl | ';')*
+File = (Ann* 'package' Q ';')? (Import | ';')* (TypeDecl | ';')* | Import* Ann* 'i'? 'i' Q {:Any:}
 Q = Id ('.' Id)*
 Id = 'i' | 'record' | 'permits' | 'yield'
 Import = 'import' 'static'? Q ('.' '*')? ';'
@@ -229,7 +267,8 @@ Vars = Var (',' Var)*
 Var = Id Dims ('=' (Expr | {:Inits:}))?
 Inits = ((Expr | {:Inits:} | Ann) (',' (Expr | {:Inits:} | Ann))* ','?)?
 Block = Stmt*
-Stmt = {:Block:} | ';' | TypeDecl | Mod* Type Vars ';' | Flow | Expr ';'
+Stmt = {:Block:} | ';' | TypeDecl | Mod* Type Vars ';' | Flow | Does ';'
+Does = Prim Post* ('=' | 'asg') Expr | 'inc' Un | Prim Post* ((:Args:) | 'inc') | 'new' New Post* | Switch
 Flow = 'if' (:Expr:) Stmt ('else' Stmt)? | 'while' (:Expr:) Stmt | 'do' Stmt 'while' (:Expr:) ';' | 'for' (:ForHead:) Stmt | 'try' {:Block:} (Catch+ ('finally' {:Block:})? | 'finally' {:Block:})
  | 'try' (:Resources:) {:Block:} Catch* ('finally' {:Block:})? | Switch | 'return' Expr? ';' | 'throw' Expr ';' | 'break' Id? ';' | 'continue' Id? ';' | 'yield' Expr ';' | Id ':' Stmt | 'synchronized' (:Expr:) {:Block:} | 'assert' Expr (':' Expr)? ';'
 Catch = 'catch' (:CatchHead:) {:Block:}
@@ -370,11 +409,12 @@ FPat = Attr* ((Id | 'n') ':' Pat | 'ref'? 'mut'? Id | '..')
 """
 _C = """
 File = Ext*
-Ext = ';' | Specs? Declr FnTail* BODY | Decl | 'extern' 's' ({:File:} | Ext) | 'asm' 'q'* (:Any:) ';' EXTS
+Ext = ';' | Attr* Specs? FDeclr FnTail* BODY | Attr* Decl | 'i' (:Any:) ';' | 'extern' 's' ({:File:} | Ext) | 'asm' 'q'* (:Any:) ';' EXTS
 Attr = [:Attrs:] | 'i' (:Any:)
-Specs = Q* Core (Q | 'ty')* | Q+
+Specs = Q* Core (Q | 'ty' | Attr)* | Q+
 Q = 'q' | 'extern'
-Core = 'ty' | Path | ('struct' | 'union') Attr? Path? ({:Fields:})? | 'enum' Path? ({:Enums:})? CORES
+Core = 'ty' | Path | ('struct' | 'union') Attr* (Path {:Fields:}? | {:Fields:}) | 'enum' (Path {:Enums:}? | {:Enums:}) CORES
+FDeclr = ('*' | 'q' PTRS)* (Path | (:Declr:)) Suffix* (:Params:)
 Declr = ('*' | 'q' PTRS)* (Path | (:Declr:)) Suffix*
 Suffix = (:Params:) | [:Size:]
 InitD = Declr FnTail* (':' Cond)? ('=' Init INITS)?
@@ -402,8 +442,9 @@ Bin = Un (BinOp Un)*
 BinOp = 'bin' | '+' | '-' | '*' | '&' | '&&' | '<' | '>' BINS
 Un = ('+' | '-' | '!' | '~' | '*' | '&' | '&&' | 'inc' | (:Cast:) | 'sizeof' UNS)* Prim Post*
 Cast = Specs Abs?
-Prim = Path | 'n' | 's'+ | ('s' | 'i')+ | (:Seq:) | 'sizeof' (:Cast:) | (:Cast:) {:Inits:} | (:StmtE:) PRIMS
+Prim = Path | 'n' | 's'+ | ('s' | 'i')+ | (:Seq:) | 'sizeof' (:Cast:) | (:Cast:) {:Inits:} | (:StmtE:) | '_Generic' (:Generic:) PRIMS
 StmtE = {:Block:}
+Generic = Expr (',' (Cast | 'default') ':' Expr)+
 Post = '.' Path | '->' Path | (:Args:) | [:Seq:] | 'inc' POSTS
 Args = (Arg (',' Arg)*)?
 Arg = Init | Cast ARGS
@@ -416,12 +457,12 @@ RULES["c"] = (
 )
 RULES["cpp"] = (
     _C.replace("BODY", "(Ctor? {:Block:} | '=' ('default' | 'delete' | 'n') ';' | 'try' Ctor? {:Block:} Catch+)")
-    .replace(" EXTS", " | 'q'* 'namespace' Attr? Path? {:File:} | 'using' 'namespace'? 'typename'? Path ('=' Cast)? (',' Path)* ';' | 'namespace' 'i' '=' Path ';' | 'template' TP? Req? Ext | 'concept' 'i' '=' Cond ';' | 'static_assert' (:Args:) ';' | Access ':'")
-    .replace(" CORES", " | ('struct' | 'union' | 'class') Attr* Path 'final'? (':' Base (',' Base)*)? {:Fields:} | 'class' Attr* Path? ({:Fields:})? | 'enum' ('struct' | 'class')? Path? (':' Specs)? ({:Enums:})? | 'typename' Path | 'decltype' (:Args:)")
+    .replace(" EXTS", " | Attr* Q* FDeclr FnTail* ';' | 'q'* 'namespace' Attr? Path? {:File:} | 'using' 'namespace'? 'typename'? Path ('=' Cast)? (',' Path)* ';' | 'namespace' 'i' '=' Path ';' | 'template' TP? Req? Ext | 'concept' 'i' '=' Cond ';' | 'static_assert' (:Args:) ';' | Access ':'")
+    .replace(" CORES", " | ('struct' | 'union' | 'class') Attr* Path 'final'? (':' Base (',' Base)*)? {:Fields:} | 'class' Attr* (Path {:Fields:}? | {:Fields:}) | 'enum' ('struct' | 'class')? Path? (':' Specs)? ({:Enums:})? | 'typename' Path | 'decltype' (:Args:)")
     .replace("PTRS", "| '&' | '&&' | Path '::' '*'").replace(" INITS", " | {:Inits:} | (:Args:)").replace(" TAILS", " | 'q' | 'noexcept' (:Args:)? | 'override' | 'final' | '&' | '&&' | '->' Specs Abs? | 'requires' Cond | '=' ('default' | 'delete' | 'n')")
     .replace(" ACCESS", "").replace(" CE?", " 'q'?").replace(" STMTS", " | 'try' {:Block:} Catch+ | 'using' 'namespace'? 'typename'? Path ('=' Cast)? ';' | 'static_assert' (:Args:) ';' | 'co_return' Init? ';'")
     .replace(" FORS", " | (Decl)? Specs ('*' | '&' | '&&' | 'q')* ('i' | [:Ids:]) ':' Init").replace(" BINS", " | '>' '>' | '>' '='").replace(" UNS", " | 'throw' | 'co_await' | 'co_yield'")
-    .replace(" PRIMS", " | 'this' | Path {:Inits:} | 'ty'+ ((:Args:) | {:Inits:}) | '::'? 'new' (:Args:)? (Cast | (:Cast:)) ((:Args:) | {:Inits:})? | '::'? 'delete' [:Size:]? Un | Lambda | 'throw' | 'noexcept' (:Args:) | 'typename' Path ((:Args:) | {:Inits:}) | 'decltype' (:Args:) | 'requires' (:Params:)? {:Any:}")
+    .replace(" PRIMS", " | 'this' | Path {:Inits:} | 'ty'+ ((:Args:) | {:Inits:}) | '::'? 'new' (:Args:)? (Cast | (:Cast:)) ((:Args:) | {:Inits:})? | '::'? 'delete' [:Size:]? Un | Lambda | 'throw' | 'noexcept' (:Args:) | 'typename' Path ((:Args:) | {:Inits:}) | 'decltype' (:Args:) | 'requires' (:Params:)? {:Any:} | (:Fold:)")
     .replace(" POSTS", " | '...' | {:Inits:}").replace(" ARGS", " | Init '...'").replace(" PATHS", " TArgs? ('::' PSeg)* | '::' PSeg ('::' PSeg)* | '~' 'i' | 'operator' Oper")
     + """
 PSeg = 'template'? 'i' TArgs? | '~' 'i' | 'operator' Oper
@@ -439,6 +480,8 @@ Ctor = ':' Mem (',' Mem)*
 Mem = Path ((:Args:) | {:Inits:}) '...'?
 Catch = 'catch' (:Par:) {:Block:} | 'catch' (:Dots:) {:Block:}
 Dots = '...'
+Fold = Expr FoldOp '...' (FoldOp Expr)? | '...' FoldOp Expr
+FoldOp = BinOp | ','
 Ids = 'i' (',' 'i')*
 Lambda = [:Caps:] TP? (:Params:)? FnTail* {:Block:}
 Caps = (Cap (',' Cap)*)?
@@ -450,7 +493,7 @@ Cap = '&'? 'i' '...'? ('=' Expr)? | '&' | '=' | 'this' | '*' 'this'
 # or a block, unless one of these goes on with the statement before. The lists are concatenations of such parts.
 _LISTS = {
     "python": ("Suite", "File"),
-    "javascript": ("Block", "File", "Members"),
+    "javascript": ("Block", "File", "Members", "Block_s", "File_s", "Members_s"),
     "typescript": ("Block", "File", "Members", "TMembers"),
     "java": ("Block", "Members"),
     "go": ("Block", "File"),
@@ -503,7 +546,7 @@ class Dialect:
         keep = [self.classes[t] for t in _CARRY_ON[name].split() if t in self.classes]
         self.carry_on = frozenset(keep)
         self.known: dict[tuple[str, str], str] = {}
-        self.parts: dict[tuple[str, str], bool] = {}
+        self.parts: dict[tuple[str, str], bool | set[str]] = {}
         self.semicolon = self.classes.get(";", "\0")
         self.inner = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
         if name in ("javascript", "typescript"):
@@ -524,6 +567,8 @@ class Dialect:
 
     def recognises(self, text: str) -> bool:
         """Whether the language's grammar derives the text."""
+        if text.startswith("#!") and not text.startswith("#![") and self.name in ("javascript", "typescript", "rust"):
+            text = text[text.find("\n") + 1 or len(text) :]
         if self.name == "python":
             return self._python(text)
         s = "".join(map(self.of.__getitem__, self.lexer.findall(text) if self.name not in ("rust", "cpp") else [m[0] for m in self.lexer.finditer(text)]))
@@ -534,7 +579,22 @@ class Dialect:
         s = self._reduced(s)
         if s is None or (self.name == "go" and not self._in_order(s)):
             return False
-        return self._holds("File", s)
+        return self._any_dialect(s)
+
+    def _any_dialect(self, s: str) -> bool:
+        """Whether one of the dialects derives the file: all run over one stack, part by part, as long as they hold."""
+        alive = [x for x in ("File", "File_s") if x in self.grammar.names]
+        for part in self._cut(s) or [s]:
+            key = "any of " + " ".join(alive), part
+            known = self.parts.get(key)
+            if known is None:
+                if len(self.parts) > self.memory:
+                    self.parts.clear()
+                known = self.parts[key] = self.grammar.derived(part, alive)
+            alive = [x for x in alive if x in known]
+            if not alive:
+                return False
+        return True
 
     def _in_order(self, s: str) -> bool:
         """Go: one package clause, then imports, then the rest."""
@@ -569,7 +629,7 @@ class Dialect:
             # a last statement may end with its block
             if kind == "{" and "NL" in self.classes and self.name in ("javascript", "typescript") and content and content[-1] not in "\n":
                 ended = content + "\n"
-                found |= {x for x in ("Block", "Members", "Cases", "TMembers") if x in names and x not in found and self._holds(x, ended)}
+                found |= {x for x in names if x.removesuffix("_s") in ("File", "Block", "Members", "Cases", "TMembers") and x not in found and self._holds(x, ended)}
             if "Any" in names:
                 found.add("Any")
             if len(self.known) > self.memory:
@@ -632,7 +692,7 @@ class Dialect:
             if t[0] == "\n":
                 c = chars.get(t)
                 if c is None:
-                    c = chars[t] = chr(0xF800 - 0x400 + len(chars)) if len(chars) < 0x3FF else "\0"
+                    c = chars[t] = chr(0x40000 + len(chars))
                     blank = t[1:].rpartition("\f")[2]
                     tabs = 0
                     for x in blank:
@@ -688,7 +748,7 @@ class Dialect:
         while len(blocks) > 1:
             if not self._close(blocks):
                 return False
-        return self._holds("File", "".join(blocks[0]))
+        return self._any_dialect("".join(blocks[0]))
 
     def _close(self, blocks: list[list[str]]) -> bool:
         content = "".join(blocks.pop())
@@ -752,15 +812,47 @@ class _Classes(dict):
             return "s" if len(t) > 1 else "\0"
         if name == "rust" and c == "'" and not t.endswith("'"):
             return "l" if len(t) > 1 else "\0"
+        if python and t[-1] in "\"'" and "f" in t[:2].lower().partition("'")[0].partition('"')[0] and not fields_close(t):
+            return "\0"
         if t[-1] in "\"'" and len(t) > 1 or name == "rust" and t.endswith("#") and '"' in t:
             return "s"
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
-            return "n"
+            return "\0" if python and _OCTAL.fullmatch(t) else "n"
         if c.isalpha() or c == "_" or c == "$":
             return "i"
         return "\0"
 
 
+_OCTAL = re.compile(r"0[\d_]*[1-9][\d_]*")
+
+
+def fields_close(token: str) -> bool:
+    """Whether the fields of a formatted string are closed and not empty."""
+    quote = token.lstrip("fFrRtT")[:3]
+    quote = quote if len(set(quote)) == 1 and len(quote) == 3 and len(token) > 5 else quote[0]
+    body = token[token.index(quote) + len(quote) : -len(quote)]
+    depth, i, n = 0, 0, len(body)
+    while i < n:
+        c = body[i]
+        if not depth and body[i : i + 2] in ("{{", "}}"):
+            i += 1
+        elif c == "{":
+            depth += 1
+            if body[i + 1 :].lstrip()[:1] in ("}", ""):
+                return False
+        elif c == "}":
+            if not depth:
+                return False
+            depth -= 1
+        elif c == "\\" and not depth:
+            i = body.find("}", i) % n if body[i + 1 : i + 3] == "N{" else i + 1
+        elif depth and c in "\"'":
+            close = body.find(c, i + 1)
+            i = close if close >= 0 else i
+        i += 1
+    return not depth
+
+
 @cache
 def dialect(name: str) -> Dialect:
     return Dialect(name)

@@ -103,8 +103,9 @@ class Grammar:
         follow: list[set] = [set() for _ in range(n)]
         for name in set().union(*self.held.values()):
             follow[self._nt(name)].add(END)
-        if "File" in self.names:
-            follow[self.names["File"]].add(END)
+        for name in ("File", "File_s"):
+            if name in self.names:
+                follow[self.names[name]].add(END)
         changed = True
         while changed:
             changed = False

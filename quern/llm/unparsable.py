@@ -19,9 +19,11 @@ def parsed_files(files: DataFrame) -> DataFrame:
 
     Method: generalised LL with a graph-structured stack. Each text is lexed to token classes; bracketed groups (and
     Python's indented suites) are recognised from the inside out, each for all nonterminals that may stand there, in
-    one run over a shared stack; lists of statements are recognised part by part. The dialects of an extension share
-    one grammar (JavaScript's script and module, C up to C23 with common extensions), a file that no dialect derives
-    does not parse. Equal groups are recognised once per worker: results are kept by their class string.
+    one run over a shared stack; lists of statements are recognised part by part. The dialects of an extension have
+    nonterminals of their own and run together over the same stack (a JavaScript script has the with statement and no
+    import or export declarations, a module is the other way round; the other languages have one dialect with its common
+    extensions); a dialect that doesn't derive a part drops out, and a file that every dialect has dropped does not
+    parse. Equal groups are recognised once per worker: results are kept by their class string.
 
     The language is told by the extension, not by the column. Files without current content (null) are left out; an
     empty text parses wherever the grammar derives it. A byte-order mark is ignored. A file is one row and is parsed

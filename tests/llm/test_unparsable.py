@@ -56,6 +56,52 @@ def test_valid_and_broken(lang):
             assert not d.recognises(text.rstrip()[: len(text.rstrip()) * 2 // 3].rstrip("}) \n;") + " ("), text
 
 
+MORE = {
+    # valid and broken snippets of the finer points of the languages
+
+    "javascript":["#!/usr/bin/env node\nlet a = 1\n","const s = `a ${b ? `c ${d} }` : `e`} f`\n","import x from './a.json' with {type: 'json'}\n","with (a) { b() }\n","with (a) b.with(1)\n","const {a, b = 1} = c; [x, y] = [y, x]; a.b[c] = d ||= e\n","a.with(1, 2)\n","for (const x of y) z\n","for (const x in y) z\nfor (let i = 0, j; i < 3; i += 2) ;\n","({a} = b)\nthis.x = 1\nsuper.y = 2\nnew A().b = 3\n","x = y = z => z\nasync () => { await x }\n","let x = a ? b : c, y\nvar z\n","export const a = 1, b = 2\nexport * from 'x'\n","const f = { with(a) { return a } }\nexport { f }\n"],
+    "typescript":["declare module 'x' { export const a: string; export function f(a: number): void }\n","declare module 'y'\n","namespace A.B { export const c = 1 }\n","type P = [a: string, b?: number, ...rest: boolean[]]\n","function f(x: unknown): asserts x is string { }\n","function g(x: unknown): asserts x { }\n","declare const z: number\nexport declare function h(): void\n","declare global { interface Window { a: string } }\n"],
+    "c":["__attribute__((unused)) static int f(void) { return 1; }\n",'MODULE_LICENSE("GPL");\n',"#define T(x) _Generic((x), int: 1, default: 2)\nint y = _Generic(x, int: 1, char *: 2, default: 3);\n","struct s { int a; } __attribute__((packed));\nstruct __attribute__((packed)) t { int a; };\nstruct s x = { .a = 1 };\n","enum e { A, B } v;\nunion u { int a; float b; };\nstruct fwd;\n","int (*f(int a))(char) { return 0; }\n"],
+    "cpp":["[[nodiscard]] int f() { return 1; }\n","template <typename... A> auto sum(A... a) { return (a + ...); }\ntemplate <typename... A> auto all(A... a) { return (... && a); }\ntemplate <typename... A> void p(A... a) { (f(a), ...); }\n","class [[nodiscard]] A final : public B { public: A(); ~A() override; };\nclass F;\nstruct { int a; } x;\n","int x{1};\nA::A() : b(1) { }\n"],
+    "java":["module a.b { requires java.base; exports a.b.c; }\n","open module a { }\n","class A { void f() { x = 1; x.y++; --z; f(1).g(); new B(); new B().c(); this.d = 2; super.e(); a[1] += 2; super.f = 1; } }\n","class A { A() { this(1); } A(int a) { super(); } }\n"],
+    "rust":["/* a /* b */ c */ fn f() {}\n"],
+    "python":["for x in *a, b: pass\n","a, *b = c\n(a, b) = [c, d] = e\n[x] = y\n() = z\n","a.b[c]: int = 3\nx[1:2] += 3\n(a) = 1\n(a): int\n","with a as (b, c), d as e.f: pass\n","del a, (b, c[1]), d.e\n","f(a, *b, c=1, *d, **e)\nf(x for x in y)\nf(**a, b=1)\n","def f(a, b=1, /, c=2, *d, e, f=3, **g): pass\ndef g(a, /, b, *, c): pass\ndef h(*, a=1): pass\ndef k(**a): pass\ndef l(*a: int, b): pass\n","lambda: 0\nlambda a, b=1, *c, d, **e: a\nlambda *, a: a\n","x = 00\ny = 0_0\nz = 0.8 + 08.5 + 1e08\n",'f"{a!r:>{w}} {{b}} {c["d"]}"\nf"""{\n a}"""\nrf"\\d{x}"\n',"None if a else True\nx = None\nprint(None, True)\n","if (n := 1) > 2: pass\n[y := 1, y**2]\n","match x:\n    case None: pass\n    case True | False: pass\n    case {'a': None, **r}: pass\n","x = yield\n","a = b = yield c\n","class A(B, metaclass=C, **d): x: int = 1\n","print(*a, sep='')\nf(a)(b).c = 1\n'x'.y = 2\n","async def f():\n    async for a, b in c: await d\n    return [x async for x in y]\n","for a.b in c: pass\nfor (x, y) in z: pass\n","try: pass\nexcept (A, B): pass\n","f'\\N{EM DASH} {x}'\n","global a, b\n"],
+}
+WRONG = {
+    "python":["1 = x\n","f() = 1\n","f(a=1, b)\n","def f(a=1, b): pass\n","x = 08\n","f'{a'\n","None = 1\n","del f()\n","f'}'\n","f'{}'\n","def f(*): pass\n","lambda a=1, b: 0\n","(a, b) += 1\n","for f() in x: pass\n","a + b = c\n","x = (yield) = 1\n","f(**a, *b)\n","with a as 1: pass\n","del None\n","[a, 1] = b\n","True += 1\n","f(x=1, y for y in z)\n"],
+    "javascript":["const x\n","1 = 2\n","with (a) { b }\nexport const c = 1\n","import a from 'b'\nwith (c) d()\n","`a ${b\n","a + b = c\n","let 1\n"],
+    "java":["class A { void f() { 1 + 2; } }\n","class A { void f() { a == b; } }\n","class A { void f() { x; } }\n"],
+    "cpp":["class A { }\n","struct A { int x; }\nint main() { }\n"],
+    "c":["struct a { int b; }\n","int f { }\n"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted({*MORE, *WRONG}))
+def test_finer_points(lang):
+    d = dialect(lang)
+    assert [t for t in MORE.get(lang, ()) if not d.recognises(t)] == []
+    assert [t for t in WRONG.get(lang, ()) if d.recognises(t)] == []
+
+
+def test_python_snippets_agree_with_ast():
+    import warnings
+
+    for t in [*GOOD["python"], *MORE["python"], *WRONG["python"]]:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                compile(t, "x", "exec", ast.PyCF_ONLY_AST)
+            ok = True
+        except SyntaxError:
+            ok = False
+        assert dialect("python").recognises(t) is ok, t
+
+
+def test_no_bound_on_kinds_of_line_ends():
+    text = "".join("x = 1" + " " * 0 + "\n" + "\n" + " " * i + "\n" for i in range(1500)) + "if a:\n" + "".join(f"{' ' * 2}y = (1,\n{' ' * (i % 1200)}2)\n" for i in range(1300))
+    assert dialect("python").recognises(text)
+
+
 def test_languages_are_told_apart():
     for lang in RULES:
         for other, texts in GOOD.items():

@@ -188,13 +188,14 @@ def _lexed(chunks: DataFrame, file_of: list[str]) -> DataFrame:
         # below the explode, so that no text is repeated in its rows
         .withColumn("indents", indents)
         .select(*file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", "indents", F.posexplode(lexemes(F.col("content"), F.col("lang"))).alias("i", "x"))
-        .withColumn("gap", F.regexp_extract("x", r"^(\s*)", 1))
-        .withColumn("t", F.ltrim(F.regexp_replace("x", r"^\s+", "")))
+        .withColumn("t", F.ltrim(F.col("x"), F.lit(" \t\r\n\f\x0b")))
+        .withColumn("gap", F.substring(F.col("x"), F.lit(1), F.length("x") - F.length("t")))
     )
+    starts = lambda *heads: reduce(lambda c, h: c | F.col("t").startswith(h), heads[1:], F.col("t").startswith(heads[0]))
     ends_open = F.col("t").endswith("{") | F.col("t").endswith("=>") | F.col("t").endswith(":")
     name = F.when(ends_open & (F.length("t") > 3), _name(F.col("t"), F.col("lang")))
-    is_comment = F.when(F.col("lang") == "python", F.col("t").startswith("#")).otherwise(F.col("t").startswith("//") | F.col("t").startswith("/*"))
-    annotation = F.col("t").startswith("@") | ((F.col("lang") == "rust") & F.col("t").rlike(r"^#!?\[")) | F.col("t").startswith("[[") | F.col("t").startswith("__attribute__")
+    is_comment = F.when(F.col("lang") == "python", starts("#")).otherwise(starts("//", "/*"))
+    annotation = starts("@", "[[", "__attribute__") | ((F.col("lang") == "rust") & starts("#[", "#!["))
     kind = (
         F.when(F.col("t") == "", "blank")
         .when(is_comment, "comment")
@@ -202,10 +203,20 @@ def _lexed(chunks: DataFrame, file_of: list[str]) -> DataFrame:
         .when(annotation, "annotation")
         .when(F.col("t") == "{", "open")
         .when(F.col("t") == "}", "close")
-        .when(F.col("t").rlike("^[rRuU]?[\"']"), "string")
+        .when(F.regexp_replace(F.substring("t", 1, 2), "^[rRuU]", "").substr(1, 1).isin('"', "'"), "string")
         .otherwise("rest")
     )
-    return rows.withColumn("name", name).withColumn("kind", kind)
+    delta = F.when((F.col("kind") == "open") | ((F.col("kind") == "header") & F.col("t").endswith("{")), 1).when(F.col("kind") == "close", -1).otherwise(0)
+    # the rows are sorted from here on: of the texts, they keep comments and strings alone
+    return rows.withColumn("name", name).withColumn("kind", kind).select(
+        *file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", "indents", "i", "name", "kind",
+        delta.alias("delta"),
+        F.when(F.col("kind").isin("comment", "string"), F.col("t")).alias("said"),
+        (F.length("gap") - F.length(F.replace(F.col("gap"), F.lit("\n"), F.lit("")))).alias("nl"),
+        F.length(F.substring_index("gap", "\n", -1)).alias("indent"),
+        F.length("x").alias("wide"),
+        F.length("t").alias("text_wide"),
+    )
 
 
 def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame:
@@ -233,15 +244,13 @@ def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame
     after = lambda c, k=1: F.when(F.lead("seq", k).over(in_file) == F.col("seq"), F.lead(c, k).over(in_file))
     rows = _lexed(chunks, file_of)
     # characters of the file's chunks before the lexeme, and up to its text
-    rows = rows.withColumn("until", F.sum(F.length("x")).over(upto)).withColumn("at", F.col("until") - F.length("t")) if with_code else rows.withColumns({"until": F.lit(None).cast("bigint"), "at": F.lit(None).cast("bigint")})
-    rows = rows.withColumn("chunk_at", F.last(F.when(F.col("i") == 0, F.col("until") - F.length("x")), True).over(upto)) if with_code else rows.withColumn("chunk_at", F.lit(None).cast("bigint"))
+    rows = rows.withColumn("until", F.sum("wide").over(upto)).withColumn("at", F.col("until") - F.col("text_wide")) if with_code else rows.withColumns({"until": F.lit(None).cast("bigint"), "at": F.lit(None).cast("bigint")})
+    rows = rows.withColumn("chunk_at", F.last(F.when(F.col("i") == 0, F.col("until") - F.col("wide")), True).over(upto)) if with_code else rows.withColumn("chunk_at", F.lit(None).cast("bigint"))
     rows = (
         rows.where("kind <> 'blank'")
-        .withColumn("nl", F.length("gap") - F.length(F.replace(F.col("gap"), F.lit("\n"), F.lit(""))))
         .withColumn("fresh", (F.col("nl") > 0) | (F.col("i") == 0))
         .where("kind <> 'annotation'")
     )
-    delta = F.when((F.col("kind") == "open") | ((F.col("kind") == "header") & F.col("t").endswith("{")), 1).when(F.col("kind") == "close", -1).otherwise(0)
     follows = (
         (before("kind") == "comment")
         & before("fresh")
@@ -256,14 +265,12 @@ def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame
     )
     is_header, python = F.col("kind") == "header", F.col("lang") == "python"
     # the docstring is the next row, behind comments of its own
-    inside = F.when(python & (after("kind") == "string"), after("t")).when(python & (after("kind") == "comment") & (after("kind", 2) == "string"), after("t", 2))
+    inside = F.when(python & (after("kind") == "string"), after("said")).when(python & (after("kind") == "comment") & (after("kind", 2) == "string"), after("said", 2))
     rows = (
-        rows.withColumn("delta", delta)
-        .withColumn("comment", F.when(is_header & follows, before("t")))
+        rows.withColumn("comment", F.when(is_header & follows, before("said")))
         .withColumn("docstring", F.when(is_header, inside))
         .withColumn("filled", after("i").isNotNull())
         .withColumn("behind", F.when(is_header & (F.col("delta") == 0), after("at", 2)))
-        .withColumn("indent", F.length(F.regexp_extract("gap", r"([^\n]*)$", 1)))
         # where the row before ends; a comment of the same indent belongs to this row
         .withColumn("before", F.when((before("kind") == "comment") & before("fresh") & (before("indent") == F.col("indent")), F.lag("until", 2).over(in_file)).otherwise(before("until")))
         .withColumn("sum", F.sum("delta").over(upto))

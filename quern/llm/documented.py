@@ -82,13 +82,27 @@ def lexemes(content: Column, lang: Column) -> Column:
     return reduce(lambda c, name: c.when(lang == name, F.regexp_extract_all(content, F.lit(_lexer(name)), F.lit(0))), HEADERS, F.when(F.lit(False), F.array(F.lit(""))))
 
 
-def _name(lexeme: Column, lang: Column) -> Column:
-    """The name that a header lexeme defines, null for other lexemes."""
-    out = F.when(F.lit(False), F.lit(""))
-    for name, patterns in HEADERS.items():
-        found = F.coalesce(*[F.nullif(F.regexp_extract(lexeme, rf"^\s*(?:{p})$", 1), F.lit("")) for p in patterns])
-        out = out.when(lang == name, found)
-    return out
+# Where the name stands in a header that ends with its brace.
+_ID = r"[A-Za-z_$][\w$]*"
+_NAMED = {
+    "go": r"func[ \t]*(?:\([^)\n]*\)[ \t]*)?(\w+)",
+    "rust": r"\bfn\s+(\w+)",
+    "java": rf"({_ID})\s*\(",
+    "c": r"(~?[A-Za-z_]\w*)\s*\(",
+    "cpp": r"(~?[A-Za-z_]\w*)\s*\(",
+    # behind "function" or a declaration's word, else in front of the first parenthesis
+    "javascript": rf"^(?:(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\s*\*?\s*|(?:const|let|var)\s+)|[^(]*?(?=#?{_ID}\s*(?:<[^<>{{}}()]*>)?\())(#?{_ID})",
+}
+_NAMED["typescript"] = _NAMED["javascript"]
+
+
+# Python's headers end with a colon, arrows with theirs: for those the whole header is the pattern.
+_NAMED["python"] = rf"^(?:{HEADERS['python'][0]})$"
+_ARROW = rf"^(?:{HEADERS['javascript'][1]})$"
+
+
+def _by_language(values: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
 
 
 # Documentation that says nothing.
@@ -171,9 +185,9 @@ def _judge(docstring: pd.Series, comment: pd.Series, name: pd.Series) -> pd.Seri
 _DEF = r"(?m)^([ \t]*)(?:async[ \t]+)?def[ \t]"
 
 
-def _lexed(chunks: DataFrame, file_of: list[str]) -> DataFrame:
+def _lexed(chunks: DataFrame, file_of: list[str], whole: bool) -> DataFrame:
     """One row per lexeme of the function, class and module chunks, each seq once; in Python with the indents at which
-    the chunk defines functions."""
+    the chunk defines functions. Blank lexemes and annotations only if whole."""
     lang = code_language(F.col("repo_path"))
     indents = F.when(F.col("lang") == "python", F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(_DEF), F.lit(1)), F.length)))
     rows = (
@@ -187,29 +201,29 @@ def _lexed(chunks: DataFrame, file_of: list[str]) -> DataFrame:
         .withColumn("lines", F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit(""))))
         # below the explode, so that no text is repeated in its rows
         .withColumn("indents", indents)
-        .select(*file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", "indents", F.posexplode(lexemes(F.col("content"), F.col("lang"))).alias("i", "x"))
+        .withColumn("named", _by_language(_NAMED))
+        .select(*file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", "indents", "named", F.posexplode(lexemes(F.col("content"), F.col("lang"))).alias("i", "x"))
         .withColumn("t", F.ltrim(F.col("x"), F.lit(" \t\r\n\f\x0b")))
         .withColumn("gap", F.substring(F.col("x"), F.lit(1), F.length("x") - F.length("t")))
     )
-    starts = lambda *heads: reduce(lambda c, h: c | F.col("t").startswith(h), heads[1:], F.col("t").startswith(heads[0]))
-    ends_open = F.col("t").endswith("{") | F.col("t").endswith("=>") | F.col("t").endswith(":")
-    name = F.when(ends_open & (F.length("t") > 3), _name(F.col("t"), F.col("lang")))
-    is_comment = F.when(F.col("lang") == "python", starts("#")).otherwise(starts("//", "/*"))
-    annotation = starts("@", "[[", "__attribute__") | ((F.col("lang") == "rust") & starts("#[", "#!["))
-    kind = (
-        F.when(F.col("t") == "", "blank")
-        .when(is_comment, "comment")
-        .when(F.col("name").isNotNull(), "header")
-        .when(annotation, "annotation")
-        .when(F.col("t") == "{", "open")
-        .when(F.col("t") == "}", "close")
-        .when(F.regexp_replace(F.substring("t", 1, 2), "^[rRuU]", "").substr(1, 1).isin('"', "'"), "string")
-        .otherwise("rest")
-    )
+    t_starts = lambda *heads: reduce(lambda c, h: c | h, [F.col("t").startswith(h) for h in heads])
+    one, two, last = F.substring("t", 1, 1), F.substring("t", 2, 1), F.substring(F.col("t"), -1, 1)
+    is_comment = F.when(F.col("lang") == "python", one == "#").otherwise((one == "/") & two.isin("/", "*"))
+    is_string = one.isin('"', "'") | (one.isin("r", "R", "u", "U") & two.isin('"', "'"))
+    annotation = (one == "@") | F.col("t").startswith("[[") | F.col("t").startswith("__attribute__") | ((F.col("lang") == "rust") & (F.col("t").startswith("#[") | F.col("t").startswith("#![")))
+    if not whole:
+        # told by their first letters, so that the filter copies none of the dearer expressions
+        rows = rows.where((F.col("t") != "") & ~annotation)
+    plain = F.when(F.col("t") == "", "blank").when(is_comment, "comment").when(F.col("t") == "{", "open").when(F.col("t") == "}", "close").when(is_string, "string")
+    # of the lexemes with more than a brace, headers alone end with one; the patterns are data, so one expression serves all languages
+    shape = F.when(F.col("plain").isNotNull(), None).when((last == "{") | ((last == ":") & t_starts("def", "async")), F.col("named")).when((last == ">") & F.col("lang").isin("javascript", "typescript") & F.col("t").endswith("=>"), F.lit(_ARROW))
+    name = F.call_function("regexp_extract", F.col("t"), F.col("shape"), F.lit(1))
+    kind = F.coalesce("plain", F.when(F.col("name") != "", "header").when(annotation, "annotation").otherwise("rest"))
     delta = F.when((F.col("kind") == "open") | ((F.col("kind") == "header") & F.col("t").endswith("{")), 1).when(F.col("kind") == "close", -1).otherwise(0)
     # the rows are sorted from here on: of the texts, they keep comments and strings alone
-    return rows.withColumn("name", name).withColumn("kind", kind).select(
-        *file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", "indents", "i", "name", "kind",
+    return rows.withColumn("plain", plain).withColumn("shape", shape).withColumn("name", name).withColumn("kind", kind).select(
+        *file_of, "seq", "chunk_type", "start_line", "end_line", "lines", "lang", "indents", "i", "kind",
+        F.when(F.col("name") != "", F.col("name")).alias("name"),
         delta.alias("delta"),
         F.when(F.col("kind").isin("comment", "string"), F.col("t")).alias("said"),
         (F.length("gap") - F.length(F.replace(F.col("gap"), F.lit("\n"), F.lit("")))).alias("nl"),
@@ -220,8 +234,8 @@ def _lexed(chunks: DataFrame, file_of: list[str]) -> DataFrame:
 
 
 def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame:
-    """Function-documentation pairs: seq, repo_name, repo_path, language, function_name, documentation, depth, and code
-    if with_code (it is cut out of the chunk's text afterwards; the pairs are the same).
+    """Function-documentation pairs: seq, repo_name, repo_path, language, function_name, documentation, and with
+    with_code also depth and code (it is cut out of the chunk's text afterwards; the pairs are the same).
 
     Method: the text of each function, class and module chunk is lexed into rows (comments, strings, annotations,
     function headers, braces, and the rest of a line). Windows over a file's rows in order attach a comment row to the
@@ -240,71 +254,60 @@ def documented_functions(chunks: DataFrame, with_code: bool = True) -> DataFrame
     file_of = ["repo_name", "repo_path"]
     in_file = W.partitionBy(*file_of).orderBy("start_line", "seq", "i")
     upto = in_file.rowsBetween(W.unboundedPreceding, 0)
-    before = lambda c: F.lag(c).over(in_file)
-    after = lambda c, k=1: F.when(F.lead("seq", k).over(in_file) == F.col("seq"), F.lead(c, k).over(in_file))
-    rows = _lexed(chunks, file_of)
-    # characters of the file's chunks before the lexeme, and up to its text
-    rows = rows.withColumn("until", F.sum("wide").over(upto)).withColumn("at", F.col("until") - F.col("text_wide")) if with_code else rows.withColumns({"until": F.lit(None).cast("bigint"), "at": F.lit(None).cast("bigint")})
-    rows = rows.withColumn("chunk_at", F.last(F.when(F.col("i") == 0, F.col("until") - F.col("wide")), True).over(upto)) if with_code else rows.withColumn("chunk_at", F.lit(None).cast("bigint"))
-    rows = (
-        rows.where("kind <> 'blank'")
-        .withColumn("fresh", (F.col("nl") > 0) | (F.col("i") == 0))
-        .where("kind <> 'annotation'")
-    )
-    follows = (
-        (before("kind") == "comment")
-        & before("fresh")
-        & F.when(before("seq") == F.col("seq"), (F.col("nl") <= 1) | before("nl").isNull()).otherwise(
-            (before("chunk_type") == "module")
-            & (F.col("start_line") - 1 >= before("start_line") + before("lines"))
-            & (
-                (before("end_line") == F.col("start_line") - 1)
-                | (before("end_line").isNull() & (F.col("start_line") - before("start_line") - before("lines") <= 3))
-            )
-        )
-    )
-    is_header, python = F.col("kind") == "header", F.col("lang") == "python"
-    # the docstring is the next row, behind comments of its own
-    inside = F.when(python & (after("kind") == "string"), after("said")).when(python & (after("kind") == "comment") & (after("kind", 2) == "string"), after("said", 2))
-    rows = (
-        rows.withColumn("comment", F.when(is_header & follows, before("said")))
-        .withColumn("docstring", F.when(is_header, inside))
-        .withColumn("filled", after("i").isNotNull())
-        .withColumn("behind", F.when(is_header & (F.col("delta") == 0), after("at", 2)))
-        # where the row before ends; a comment of the same indent belongs to this row
-        .withColumn("before", F.when((before("kind") == "comment") & before("fresh") & (before("indent") == F.col("indent")), F.lag("until", 2).over(in_file)).otherwise(before("until")))
-        .withColumn("sum", F.sum("delta").over(upto))
-        .withColumn("base", F.last(F.when(before("seq").isNull() | (before("seq") != F.col("seq")), F.col("sum") - F.col("delta")), True).over(upto))
-    )
-    # the depths at which a row opens or closes something
-    indent = F.col("indent")
-    at_indent = F.when(F.col("fresh") & (F.col("kind") != "comment"), F.filter("indents", lambda d: d >= indent))
-    at_brace = F.when(F.col("delta") == 1, F.array(F.col("sum") - 1)).when(F.col("delta") == -1, F.array(F.col("sum")))
-    # an arrow without a brace opens nothing; its row stands alone
-    alone = F.when(is_header & (F.col("delta") == 0), F.array(F.lit(None).cast("bigint")))
-    levels = F.when(python, F.transform(at_indent, lambda d: d.cast("bigint"))).otherwise(F.coalesce(at_brace, alone))
-    depth = F.when(python, F.size(F.filter("indents", lambda d: d < indent))).otherwise(F.coalesce(F.col("sum") - F.greatest("delta", F.lit(0)), F.lit(0)) - F.col("base"))
-    marks = rows.select(
-        *file_of, "seq", "lang", "i", "delta", "filled", "at", "before", "until", "chunk_at", "behind", "name", "comment", "docstring", depth.cast("int").alias("depth"), "indent", F.explode(levels).alias("level")
-    )
+    rows = _lexed(chunks, file_of, with_code)
+    places: list[str] = []
+    if with_code:
+        # characters of the file's chunks up to the end of a lexeme, before its text, and before its chunk
+        places = ["until", "at", "chunk_at"]
+        rows = rows.withColumn("until", F.sum("wide").over(upto)).withColumn("at", F.col("until") - F.col("text_wide"))
+        rows = rows.withColumn("chunk_at", F.last(F.when(F.col("i") == 0, F.col("until") - F.col("wide")), True).over(upto))
+        rows = rows.where("kind <> 'blank' and kind <> 'annotation'")
+    rows = rows.withColumn("fresh", (F.col("nl") > 0) | (F.col("i") == 0))
+    near = F.struct("seq", "i", "kind", "said", "fresh", "nl", "indent", "chunk_type", "start_line", "lines", "end_line", *places)
+    rows = rows.withColumn("p", F.lag(near).over(in_file)).withColumn("n", F.lead(near).over(in_file)).withColumn("m", F.lead(near, 2).over(in_file)).withColumn("sum", F.sum("delta").over(upto))
+    if with_code:
+        rows = rows.withColumn("p2", F.lag("until", 2).over(in_file)).withColumn("base", F.last(F.when(F.col("p").isNull() | (F.col("p.seq") != F.col("seq")), F.col("sum") - F.col("delta")), True).over(upto))
+    # the rows that open or close a depth; what lies around a header stays with it
+    python, is_header = F.col("lang") == "python", F.col("kind") == "header"
+    marks = rows.where("kind in ('header', 'open', 'close') or (lang = 'python' and fresh and kind <> 'comment')")
+    if with_code:
+        # a comment of the same indent belongs to its row, so what is before ends in front of it
+        own = (F.col("p.kind") == "comment") & F.col("p.fresh") & (F.col("p.indent") == F.col("indent"))
+        marks = marks.withColumn("before", F.when(own, F.col("p2")).otherwise(F.col("p.until")))
+        marks = marks.withColumn("depth", F.when(python, F.size(F.filter("indents", lambda d: d < F.col("indent")))).otherwise(F.col("sum") - F.greatest("delta", F.lit(0)) - F.col("base")).cast("int"))
+        places = [*places, "before", "depth"]
+    at_brace = F.when(F.col("delta") == 1, F.col("sum") - 1).when(F.col("delta") == -1, F.col("sum"))
+    # an arrow without a brace opens nothing; its row stands alone, at no depth
+    levels = F.when(python, F.filter("indents", lambda d: d >= F.col("indent"))).otherwise(F.array(at_brace.cast("int")))
+    around = [F.when(is_header, F.col(c)).alias(c) for c in ("p", "n", "m")]
+    marks = marks.select(*file_of, "seq", "lang", "i", "kind", "delta", "nl", "indent", "chunk_type", "start_line", "name", *places, *around, F.explode(levels).alias("level"))
     in_level = W.partitionBy(*file_of, "seq", "level").orderBy("i")
-    next_of = lambda c: F.lead(c).over(in_level)
-    ends = F.when(python, next_of("before")).when(F.col("delta") == 1, next_of("until")).otherwise(F.col("behind"))
-    closed = F.when(python, F.col("filled") & (F.col("level") == F.col("indent")) & F.coalesce(next_of("i") > F.col("i") + 1, F.lit(True))).when(F.col("delta") == 1, next_of("delta") == -1).otherwise(F.col("filled"))
+    following = F.struct("i", "delta", *(c for c in places if c in ("until", "before")))
+    headers = marks.withColumn("next", F.lead(following).over(in_level)).where(is_header)
+    has_more = F.col("n.seq") == F.col("seq")
+    in_python = has_more & (F.col("level") == F.col("indent")) & (F.col("next").isNull() | (F.col("next.i") > F.col("i") + 1))
+    headers = headers.where(F.when(python, in_python).when(F.col("delta") == 1, F.col("next.delta") == -1).otherwise(has_more))
+    same_chunk = (F.col("p.seq") == F.col("seq")) & ((F.col("nl") <= 1) | F.col("p.nl").isNull())
+    p_end = F.col("p.start_line") + F.col("p.lines")
+    ends_before = F.when(F.col("p.end_line").isNull(), F.col("start_line") - p_end <= 3).otherwise(F.col("p.end_line") == F.col("start_line") - 1)
+    chunk_before = (F.col("p.seq") != F.col("seq")) & (F.col("p.chunk_type") == "module") & (F.col("start_line") - 1 >= p_end) & ends_before
+    # the docstring is the next row, behind comments of its own
+    at_second = (F.col("n.kind") == "comment") & (F.col("m.kind") == "string") & (F.col("m.seq") == F.col("seq"))
+    inside = F.when((F.col("n.kind") == "string") & has_more, F.col("n.said")).when(at_second & has_more, F.col("m.said"))
+    told = headers.withColumn("comment", F.when((F.col("p.kind") == "comment") & F.col("p.fresh") & (same_chunk | chunk_before), F.col("p.said"))).withColumn("docstring", F.when(python, inside))
     # one evaluation: the mark keeps the optimizer from copying the function into the filter
     judge = F.pandas_udf(_judge, "int").asNondeterministic()
     found = (
-        marks.withColumn("ends", ends)
-        .withColumn("closed", closed)
-        .where("name is not null and closed and (comment is not null or docstring is not null)")
+        told.where("comment is not null or docstring is not null")
         .withColumn("says", judge("docstring", "comment", "name"))
         .where("says > 0")
         .withColumn("documentation", F.when(F.col("says") == 1, F.col("docstring")).otherwise(F.col("comment")))
     )
-    columns = ["seq", *file_of, F.col("lang").alias("language"), F.col("name").alias("function_name"), "documentation", "depth"]
+    columns = ["seq", *file_of, F.col("lang").alias("language"), F.col("name").alias("function_name"), "documentation"]
     if not with_code:
         return found.select(*columns)
+    ends = F.when(python, F.col("next.before")).when(F.col("delta") == 1, F.col("next.until")).when(F.col("m.seq") == F.col("seq"), F.col("m.at"))
     texts = chunks.where("content is not null").groupBy(*[F.col(c).alias(f"_{c}") for c in (*file_of, "seq")]).agg(F.min_by("content", "start_line").alias("content"))
     same = [F.equal_null(found[c], texts[f"_{c}"]) for c in (*file_of, "seq")]
-    start, length = F.col("at") - F.col("chunk_at"), F.coalesce(F.col("ends") - F.col("at"), F.length("content"))
-    return found.join(texts, same).select(*columns, F.rtrim(F.substring("content", start.cast("int") + 1, length.cast("int"))).alias("code"))
+    start, length = F.col("at") - F.col("chunk_at"), F.coalesce(ends - F.col("at"), F.length("content"))
+    return found.join(texts, same).select(*columns, "depth", F.rtrim(F.substring("content", start.cast("int") + 1, length.cast("int"))).alias("code"))

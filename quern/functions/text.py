@@ -22,6 +22,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def truncate_tokens(text: Column, most: int) -> Column:
+    """The text up to the end of its first `most` default tokens; a shorter text as it is."""
+    parts = F.regexp_extract_all(text, F.lit(rf"[ \t\r\n]*(?:{TOKEN_PATTERN})"), F.lit(0))
+    return F.when(F.size(parts) > most, F.array_join(F.slice(parts, 1, most), "")).otherwise(text)
+
+
 def lexical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LEXICAL_PATTERN), F.lit(0))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # Words that are no keywords.
 STOP_WORDS = (
     "the and for that this with from which when each into also using their than some like used need have not its your can set use you are has but all "
@@ -87,11 +89,20 @@ def finding(delta: Column, large: float = 0.3, noticeable: float = 0.05) -> Colu
     return F.when(delta > large, "validated").when(F.abs(delta) > noticeable, "noticeable").otherwise("marginal")
 
 
+# Terms that are no identifiers, signs around one, and the patterns of quoted terms and of calls.
+NO_IDENTIFIERS = "the and for with this that from into file path name code data list dict true false none null".split()
+IDENTIFIER_EDGES = "()@,.:;* "
+QUOTED_TERM = r"`([^`]+)`"
+CALLED_NAME = r"\b([A-Za-z_][A-Za-z0-9_]{2,})\(\)"
+
+
 def extract_identifiers(text: Column) -> Column:
-    """Identifiers a summary names: back-quoted terms without blanks and calls name(), 3 letters at least, sorted."""
-    quoted = F.transform(F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1)), lambda x: F.btrim(x, F.lit(".,:;")))
-    calls = F.regexp_extract_all(text, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*\(\))"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(quoted, calls), lambda x: (F.length(x) >= 3) & ~F.contains(x, F.lit(" ")))))
+    """Identifiers a summary names: back-quoted terms without blanks, freed of the signs around them, and the names of calls name();
+    3 letters at least, common words left out, sorted."""
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(QUOTED_TERM), F.lit(1)), lambda x: F.btrim(strip(x), F.lit(IDENTIFIER_EDGES)))
+    calls = F.regexp_extract_all(text, F.lit(CALLED_NAME), F.lit(1))
+    kept = F.filter(F.concat(quoted, calls), lambda x: (F.length(x) >= 3) & ~F.contains(x, F.lit(" ")) & ~F.lower(x).isin(NO_IDENTIFIERS))
+    return F.array_sort(F.array_distinct(kept))
 
 
 def grounding(summaries: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:

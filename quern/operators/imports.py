@@ -7,13 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.languages import code_language
-from ..functions.text import parent_dir, split_lines
-
-# Per language: a root-level import line and the group that holds its target.
+from ..functions.text import parent_dir
+
+# What is no code: comments and long strings; short strings are kept (group 1), as they may be targets.
+_SHORT = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+_NO_CODE = {
+    "python": r'''"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|#[^\n]*|''' + _SHORT,
+    "javascript": r"/\*[\s\S]*?\*/|//[^\n]*|`(?:[^`\\]|\\[\s\S])*`|" + _SHORT,
+    "c": r"/\*[\s\S]*?\*/|//[^\n]*|" + _SHORT,
+    "go": r"/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`|" + _SHORT,
+    "rust": r'''/\*[\s\S]*?\*/|//[^\n]*|("(?:[^"\\]|\\[\s\S])*")''',
+}
+# A Go file's imports: one of a line, or the literals of a block.
+_GO_IMPORTS = r'(?m)^import[ \t]*(?:\([^)]*\)|(?:[\w.]+[ \t]+)?"[^"\n]+")'
+# Per language: a root-level import statement and the group that holds its target; a statement may take several lines.
 IMPORT_LINES = {
     "python": r"^(?:from[ \t]+(\.*[\w.]*)[ \t]+import\b|import[ \t]+([\w.]+)(?=[ \t]*(?:,|;|#|$)))",
-    "javascript": r"""^import\b[^'"]*['"]([^'"]+)['"]""",
-    "typescript": r"""^import\b[^'"]*['"]([^'"]+)['"]""",
+    "javascript": r"""^import\b[^'";()]*['"]([^'"]+)['"]""",
+    "typescript": r"""^import\b[^'";()]*['"]([^'"]+)['"]""",
     "java": r"^import[ \t]+(?:static[ \t]+)?([\w.]+?)(?:\.\*)?[ \t]*;",
     "c": r'^#[ \t]*include[ \t]*[<"]([^>"]+)[>"]',
     "cpp": r'^#[ \t]*include[ \t]*[<"]([^>"]+)[>"]',
@@ -34,11 +45,28 @@ def import_target(line: Column, language: Column) -> Column:
 
 
 def extract_imports(files: DataFrame, go_blocks: bool = False) -> DataFrame:
-    """(repo_name, src, ord, raw): import targets of each file's lines in order. Go has none unless go_blocks is set."""
+    """(repo_name, src, ord, raw): import targets of each file's statements in order, from 0. Go has none unless go_blocks is set.
+
+    Comments, long strings and templates are taken out first, so an import inside them is none; a statement may take
+    several lines. A null content has no imports.
+    """
     lang = code_language(F.col("repo_path"))
-    kept = files.where("raw_content is not null").withColumn("lang", lang).where("lang is not null" if go_blocks else "lang is not null and lang <> 'go'")
-    lines = kept.select("repo_name", F.col("repo_path").alias("src"), "lang", F.posexplode(split_lines(F.col("raw_content"))).alias("ord", "line"))
-    return lines.withColumn("raw", import_target(F.col("line"), F.col("lang"))).where("raw is not null").select("repo_name", "src", "ord", "raw")
+    text, kept = F.regexp_replace("raw_content", r"\r\n?", "\n"), files.where("raw_content is not null").withColumn("lang", lang)
+    kept = kept.where("lang is not null" if go_blocks else "lang is not null and lang <> 'go'")
+    found = F.when(F.lit(False), F.array(F.lit("")))
+    for name, pattern in IMPORT_LINES.items():
+        code = F.regexp_replace(text, _NO_CODE.get(name, _NO_CODE["javascript" if name == "typescript" else "c"]), "$1")
+        if name == "python":
+            code = F.regexp_replace(code, r"\\\n", " ")
+            first, second = (F.regexp_extract_all(code, F.lit(f"(?m){pattern}"), F.lit(g)) for g in (1, 2))
+            targets = F.zip_with(first, second, lambda x, y: F.when(x != "", x).otherwise(y))
+        elif name == "go":
+            blocks = F.regexp_extract_all(code, F.lit(_GO_IMPORTS), F.lit(0))
+            targets = F.flatten(F.transform(blocks, lambda x: F.regexp_extract_all(x, F.lit(r'"([^"\n]+)"'), F.lit(1))))
+        else:
+            targets = F.transform(F.regexp_extract_all(code, F.lit(f"(?m){pattern}"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", " "))
+        found = found.when(F.col("lang") == name, targets)
+    return kept.select("repo_name", F.col("repo_path").alias("src"), F.posexplode(found).alias("ord", "raw"))
 
 
 def fold_path(path: Column) -> Column:
@@ -47,12 +75,10 @@ def fold_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def _ancestor(folder: Column, ups: Column, most: int = 8) -> Column:
+def _ancestor(folder: Column, ups: Column) -> Column:
     """The folder `ups` levels above, '.' at the top."""
-    levels = [folder]
-    for _ in range(most):
-        levels.append(parent_dir(levels[-1]))
-    return F.element_at(F.array(*levels), F.least(ups, F.lit(most)) + 1)
+    parts = F.split(folder, "/")
+    return F.when(ups >= F.size(parts), F.lit(".")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - ups, F.lit(1))), "/"))
 
 
 def candidates(raw: Column, src: Column, language: Column) -> Column:

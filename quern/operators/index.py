@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import truncate_tokens
 from .current_rows import first_by
 from .lexical import postings
 from .vectors import hashed_vectors
@@ -39,13 +40,14 @@ def with_sentinels(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**{c: F.coalesce(c, F.lit("")) for c in texts}, **{c: F.coalesce(c, F.lit(-1)) for c in lines}})
 
 
-def embed(texts: DataFrame, provider: Embed, column: str = "document", batch: int = 100, max_chars: int = 32_000, retries: int = 5) -> DataFrame:
-    """Adds embedding: the provider's vector per text, in batches within the tasks; a batch that keeps failing gives nulls."""
+def embed(texts: DataFrame, provider: Embed, column: str = "document", batch: int = 100, max_tokens: int | None = None, retries: int = 5) -> DataFrame:
+    """Adds embedding: the provider's vector per text, in batches within the tasks, of whole texts unless the provider takes
+    max_tokens at most; a batch that keeps failing gives nulls."""
 
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             out: list = []
-            values = [(x or "")[:max_chars] for x in s]
+            values = [x or "" for x in s]
             for i in range(0, len(values), batch):
                 got: list = [None] * len(values[i : i + batch])
                 for _ in range(retries):
@@ -58,7 +60,7 @@ def embed(texts: DataFrame, provider: Embed, column: str = "document", batch: in
             yield pd.Series(out, dtype=object)
 
     vectors.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return texts.withColumn("embedding", F.pandas_udf(vectors, "array<float>")(F.col(column)))
+    return texts.withColumn("embedding", F.pandas_udf(vectors, "array<float>")(F.col(column) if max_tokens is None else truncate_tokens(F.col(column), max_tokens)))
 
 
 def build_index(chunks: DataFrame, summaries: DataFrame | None = None, provider: Embed | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count
+from ..functions.text import token_count, truncate_tokens
 
 # Fixed value: order in which a file's chunks represent it.
 CHUNK_PRIORITY = ("function", "class", "module", "config", "prose")
@@ -45,12 +45,19 @@ def context_block(path: Column, start: Column, end: Column, chunk_type: Column,
 
 
 def build_context(ranked: DataFrame, max_tokens: int = 4000) -> DataFrame:
-    """(question_id, context, n_chunks, used) of ranked chunks (question_id, rank and the chunk columns)."""
-    block = context_block(*[F.col(c) for c in ("repo_path", "start_line", "end_line", "chunk_type", "symbol_name", "language", "content")])
-    rows = ranked.withColumn("block", block).withColumn("n", token_count(F.col("block")))
+    """(question_id, context, n_chunks, used) of ranked chunks (question_id, rank and the chunk columns).
+
+    Chunks in order until the first that does not fit. A first chunk that alone is over the budget stands alone, its
+    content cut to the budget less 50 tokens, with a mark.
+    """
+    shown = lambda content: context_block(*[F.col(c) for c in ("repo_path", "start_line", "end_line", "chunk_type", "symbol_name", "language")], content)
+    cut = F.concat(truncate_tokens(F.col("content"), max(0, max_tokens - 50)), F.lit("\n[...truncated...]"))
+    rows = ranked.withColumn("block", shown(F.col("content"))).withColumn("n", token_count(F.col("block")))
+    # a later chunk over the budget is never kept
+    rows = rows.withColumn("block", F.when(F.col("n") > max_tokens, shown(cut)).otherwise(F.col("block")))
     kept = pack_prefix(rows, ["question_id"], ["rank"], "n", max_tokens)
     return kept.groupBy("question_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"),
         F.count("*").alias("n_chunks"),
-        F.max("used").alias("used"),
+        F.sum(token_count(F.col("block"))).alias("used"),
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .lexical import top_k
@@ -28,15 +29,22 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
     More queries run in that many passes. A filter goes to the scan. Null, empty and zero vectors, and vectors of
     another length than the queries', are never found.
     """
-    rows = queries.where("embedding is not null and size(embedding) > 0").select(F.col("question_id").cast("bigint"), "embedding").orderBy("question_id")
-    wanted = rows.limit(max_queries + 1).collect()
-    if len(wanted) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: ask in parts")
+    rows = queries.where("embedding is not null and size(embedding) > 0").select(F.col("question_id").cast("bigint"), "embedding")
+    first = rows.agg(F.count("*").alias("n"), F.min_by(F.size("embedding"), "question_id").alias("width")).first()
+    width = first["width"] or 0
     source = vectors if where is None else vectors.where(where)
-    source = source.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(embedding).alias("embedding"))
-    width = len(wanted[0]["embedding"]) if wanted else 0
-    ids = [r["question_id"] for r in wanted if len(r["embedding"]) == width]
-    q = _matrix(pd.Series([r["embedding"] for r in wanted if len(r["embedding"]) == width])) if ids else np.zeros((0, width))
+    source = source.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(embedding).alias("embedding")).where(F.size("embedding") == width)
+    passes = max(1, -(-first["n"] // max_queries))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(passes))
+    asked = rows.where(F.size("embedding") == width)
+    near = [_nearest(source, asked.where(part == i).collect(), width, k) for i in range(passes)]
+    return top_k(reduce(DataFrame.unionByName, near), k, descending=False)
+
+
+def _nearest(vectors: DataFrame, wanted: list[Row], width: int, k: int) -> DataFrame:
+    """The k best of every block of vectors for one pass of queries."""
+    ids = [r["question_id"] for r in wanted]
+    q = _matrix(pd.Series([r["embedding"] for r in wanted])) if ids else np.zeros((0, width))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,8 +64,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, doc_id: str = "d
             at = np.nonzero(distance <= edge + 1e-9)
             yield pd.DataFrame({"question_id": np.asarray(names)[at[1]], "doc_id": docs[at[0]], "score": distance[at]})
 
-    near = source.where(F.size("embedding") == width).mapInPandas(blocks, FOUND)
-    return top_k(near, k, descending=False)
+    return vectors.mapInPandas(blocks, FOUND)
 
 
 def fit_centroids(vectors: DataFrame, n_lists: int, embedding: str = "embedding", sample_rows: int = 100_000, seed: int = 7, rounds: int = 10) -> np.ndarray:

@@ -178,8 +178,11 @@ ORACLE_SQL: dict[str, str] = {
     "keywords": f"with {_PAIRS} select id, {_KEYWORDS} keywords from pairs where answer is not null",
     "keyword_recall": f"""with {_PAIRS}, k as (select repo_name, question, {_KEYWORDS} kw from pairs where answer is not null)
         select repo_name, count(*) n, round(avg(case when len(kw) > 0 then len(list_filter(kw, lambda x: contains(lower(coalesce(question, '')), x))) / len(kw) else 0 end), 9) mean_recall from k group by 1""",
-    "grounding_totals": rf"""with {_PAIRS}, i as (select coalesce(nullif(question_type, ''), 'none') as level, question, list_distinct(list_filter(list_concat(
-            list_transform(regexp_extract_all(answer, '`([^`\n]+)`', 1), lambda x: trim(x, '.,:;')), list_filter(regexp_extract_all(answer, '{_WORDS}\(\)'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*\(\)'))), lambda x: length(x) >= 3 and not contains(x, ' '))) ids from pairs where answer is not null),
+    "grounding_totals": rf"""with {_PAIRS}, t as (select id, coalesce(nullif(question_type, ''), 'none') as level, question, answer from pairs where answer is not null),
+        q as (select id, trim(regexp_replace(x, '^\s+|\s+$', '', 'g'), '()@,.:;* ') x from (select id, unnest(regexp_extract_all(answer, '`([^`]+)`', 1)) x from t)
+            union select id, regexp_extract(x, '^[A-Za-z_][A-Za-z0-9_]*') from (select id, unnest(regexp_extract_all(answer, '\b[A-Za-z_][A-Za-z0-9_]+\(\)')) x from t)),
+        k as (select distinct id, x from q where length(x) >= 3 and position(' ' in x) = 0 and lower(x) not in ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'into', 'file', 'path', 'name', 'code', 'data', 'list', 'dict', 'true', 'false', 'none', 'null')),
+        i as (select level, question, coalesce((select list(x) from k where k.id = t.id), []) ids from t),
         m as (select level, len(ids) n, len(list_filter(ids, lambda x: not contains(question, x) and not contains(question, replace(x, '()', '')))) miss from i)
         select level, count(*) n, sum(n)::bigint n_identifiers, sum(miss)::bigint n_missing, count_if(miss > 0) n_with_missing, round(case when sum(n) > 0 then 1 - sum(miss) / sum(n) else 1 end, 9) grounded from m group by 1""",
     "config_stats": "select event_type, count(*) n, round(avg(value), 6) value_mean, round(coalesce(stddev_samp(value), 0), 6) value_std from events group by 1",

@@ -49,7 +49,8 @@ class VectorTable:
     def _replace(self, rows: DataFrame) -> None:
         """Written aside first, as the table itself is being read, then moved in by a partition overwrite."""
         aside = f"{self.path}.{uuid.uuid4().hex}"
-        rows.repartition("repo_name").write.partitionBy("repo_name").parquet(aside)
+        # by repository, where Spark splits a large one and joins small ones
+        rows.hint("rebalance", "repo_name").write.partitionBy("repo_name").parquet(aside)
         self.spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_name").parquet(self.path)
         hadoop = self.spark._jsc.hadoopConfiguration()
         p = self.spark._jvm.org.apache.hadoop.fs.Path(aside)

@@ -72,7 +72,9 @@ def test_tables(spark):
     got = [r[0] for r in e.select(error_bucket(*[F.col(x) for x in ("r", "n", "t", "g", "c", "j")])).collect()]
     assert got == ["retrieval_miss", "empty_context", "wrong_routing", "cited_wrong_path", "unverified_citation", "low_judge_quality", "clean_pass"]
     i = spark.range(1).select(extract_identifiers(F.lit("`parse_it` calls run() and `a b` or `xy`"))).first()[0]
-    assert i == ["parse_it", "run()"]
+    assert i == ["parse_it", "run"]
+    i = spark.range(1).select(extract_identifiers(F.lit("`@app.route` `file` `None` ` x() ` `x_y()`, run() name()"))).first()[0]
+    assert i == ["app.route", "run", "x_y"]
 
 
 def test_mining(spark):
@@ -114,3 +116,21 @@ def test_summaries(spark):
     got = {(r["level"], r["path"]): r for r in summarize(spark.createDataFrame(rows, s)).collect()}
     assert set(got) == {("file", "src/a.py"), ("file", "src/sub/b.py"), ("directory", "src"), ("directory", "src/sub"), ("project", ".")}
     assert got["file", "src/a.py"]["source_ids"] == ["1", "2"] and got["file", "src/a.py"]["content"].startswith("def f")
+
+
+def test_first_chunk_over_the_budget_is_cut(spark):
+    from quern.operators.packing import build_context
+
+    chunk = lambda n, rank: (1, rank, "a.py", 1, 2, "function", "f", "python", "word " * n)
+    schema = "question_id bigint, rank int, repo_path string, start_line int, end_line int, chunk_type string, symbol_name string, language string, content string"
+    r = build_context(spark.createDataFrame([chunk(9000, 1), chunk(5, 2)], schema), 4000).first()
+    assert r["n_chunks"] == 1 and 3950 <= r["used"] <= 4000 and r["context"].endswith("[...truncated...]\n```") and r["context"].count("word") == 3950
+    r = build_context(spark.createDataFrame([chunk(5, 1), chunk(9000, 2), chunk(5, 3)], schema), 4000).first()
+    assert r["n_chunks"] == 1 and "truncated" not in r["context"]
+
+
+def test_report_order_is_a_parameter(spark):
+    from quern.sources.report import markdown_table
+
+    t = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "config string, n int")
+    assert [x.split(" ")[1] for x in markdown_table(t, "config", ("c", "b")).split("\n")[2:]] == ["c", "b", "a"]

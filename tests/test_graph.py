@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quern.operators.imports import extract_imports, graph_neighbor_ranks, graph_summary, importers, neighbors, raw_targets, resolve_imports
 
 FILES = "repo_name string, repo_path string, raw_content string"
@@ -58,3 +60,22 @@ def test_stored_lines(spark):
     rows = [("r", "a.js", 0, "const x = require('./b');"), ("r", "a.js", 0, "const x = require('./b');"), ("r", "a.py", 0, "nothing here"), ("r", "a.py", 1, None)]
     got = raw_targets(spark.createDataFrame(rows, "repo_name string, src string, ord int, raw string")).collect()
     assert [(r["src"], r["raw"]) for r in got] == [("a.js", "./b")]
+
+
+def test_imports_of_statements(spark):
+    """Over several lines, but not inside comments, long strings and templates; any number of levels up."""
+    from quern.operators.imports import candidates, extract_imports
+
+    texts = {
+        "a.py": '"""Doc.\nimport fake\n"""\nimport os, sys\nfrom . import (\n    b,\n)\nfrom .c \\\n    import d\n# import no\nx = \'import no\'\n',
+        "a.js": "import {\n  b\n} from './d'\n/*\nimport x from 'no'\n*/\nimport './e'\nconst t = `\nimport y from 'no'\n`\n// import z from 'no'\nimport('no')\n",
+        "a.rs": "use a::{\n    b,\n    c::d,\n};\nuse e;\n// use no;\n", "a.go": 'package a\n\nimport (\n\t"fmt"\n\tx "a/b"\n)\nimport "os"\n\nvar s = []string{\n\t"no",\n}\n',
+        "A.java": "import a.b.C;\n/* import no.No; */\nimport static d.E.*;\n", "a.c": '#include <x.h>\n#include "y/z.h"\n// #include "no.h"\n', "n.py": None,
+    }
+    df = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repo_name string, repo_path string, raw_content string")
+    got = {}
+    for r in sorted(extract_imports(df, go_blocks=True).collect(), key=lambda r: (r["src"], r["ord"])):
+        got.setdefault(r["src"], []).append(r["raw"])
+    assert got == {"a.py": ["os", ".", ".c"], "a.js": ["./d", "./e"], "a.rs": ["a::{ b, c::d, }", "e"], "a.go": ["fmt", "a/b", "os"], "A.java": ["a.b.C", "d.E"], "a.c": ["x.h", "y/z.h"]}
+    deep = spark.range(1).select(candidates(F.lit("." * 12 + "m"), F.lit("/".join(f"d{i}" for i in range(12)) + "/x.py"), F.lit("python")).alias("c")).first()["c"]
+    assert deep == ["d0/m.py", "d0/m/__init__.py"]

@@ -10,13 +10,14 @@ from ..functions.languages import code_language
 from ..functions.text import parent_dir
 
 # What is no code: comments and long strings; short strings are kept (group 1), as they may be targets.
-_SHORT = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+# Repeated groups are unrolled and possessive, so long texts need no deep stack.
+_SHORT = r"""("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
 _NO_CODE = {
     "python": r'''"{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|#[^\n]*|''' + _SHORT,
-    "javascript": r"/\*[\s\S]*?\*/|//[^\n]*|`(?:[^`\\]|\\[\s\S])*`|" + _SHORT,
+    "javascript": r"/\*[\s\S]*?\*/|//[^\n]*|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`|" + _SHORT,
     "c": r"/\*[\s\S]*?\*/|//[^\n]*|" + _SHORT,
     "go": r"/\*[\s\S]*?\*/|//[^\n]*|`[^`]*`|" + _SHORT,
-    "rust": r'''/\*[\s\S]*?\*/|//[^\n]*|("(?:[^"\\]|\\[\s\S])*")''',
+    "rust": r'''/\*[\s\S]*?\*/|//[^\n]*|("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+")''',
 }
 # A Go file's imports: one of a line, or the literals of a block.
 _GO_IMPORTS = r'(?m)^import[ \t]*(?:\([^)]*\)|(?:[\w.]+[ \t]+)?"[^"\n]+")'

@@ -116,6 +116,7 @@ _KEYWORDS = rf"""list_sort(list_distinct(list_concat(
     list_filter(regexp_extract_all(answer, '{_WORDS}'), lambda x: regexp_full_match(x, '[a-z_][a-z0-9_]{{2,}}') and x not in ({_STOP})),
     list_transform(list_filter(regexp_extract_all(answer, '{_WORDS}'), lambda x: regexp_full_match(x, '[A-Z][a-zA-Z]{{3,}}')), lambda x: lower(x)))))"""
 
+_SHORT_STRINGS = r"""("(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*'')"""
 ORACLE_SQL: dict[str, str] = {
     "file_types": f"with {_NOW} select repo_name, {_TYPE} file_type, count(*) n_files, sum(coalesce(length(raw_content), 0)) n_chars from now_files group by 1, 2",
     "file_state": f"with {_NOW} select repo_name, repo_path, length(raw_content) n_chars, left(crawled_at::varchar, 19) crawled_at from now_files",
@@ -178,6 +179,20 @@ ORACLE_SQL: dict[str, str] = {
     "keywords": f"with {_PAIRS} select id, {_KEYWORDS} keywords from pairs where answer is not null",
     "keyword_recall": f"""with {_PAIRS}, k as (select repo_name, question, {_KEYWORDS} kw from pairs where answer is not null)
         select repo_name, count(*) n, round(avg(case when len(kw) > 0 then len(list_filter(kw, lambda x: contains(lower(coalesce(question, '')), x))) / len(kw) else 0 end), 9) mean_recall from k group by 1""",
+    "extracted_imports": rf"""with f as (select repo_name, repo_path, lower(regexp_extract(repo_path, '\.([A-Za-z]+)$', 1)) ext,
+            regexp_replace(arg_max({{'c': raw_content}}, coalesce(crawled_at, timestamp '0001-01-01'))['c'], '\r\n?', chr(10), 'g') t from files group by 1, 2),
+        n as (select *, case when ext = 'py' then regexp_replace(regexp_replace(t, '"{{3}}(?s:.)*?"{{3}}|''{{3}}(?s:.)*?''{{3}}|#[^\n]*|{_SHORT_STRINGS}', '\1', 'g'), '\\\n', ' ', 'g')
+            when ext in ('js', 'ts') then regexp_replace(t, '/\*(?s:.)*?\*/|//[^\n]*|`(?:[^`\\]|\\(?s:.))*`|{_SHORT_STRINGS}', '\1', 'g')
+            when ext = 'go' then regexp_replace(t, '/\*(?s:.)*?\*/|//[^\n]*|`[^`]*`|{_SHORT_STRINGS}', '\1', 'g') when ext = 'rs' then regexp_replace(t, '/\*(?s:.)*?\*/|//[^\n]*|("(?:[^"\\]|\\(?s:.))*")', '\1', 'g')
+            else regexp_replace(t, '/\*(?s:.)*?\*/|//[^\n]*|{_SHORT_STRINGS}', '\1', 'g') end code from f where t is not null and ext in ('py', 'js', 'ts', 'java', 'go', 'rs', 'c', 'cpp', 'cc')),
+        r as (select repo_name, repo_path, case
+            when ext = 'py' then list_transform(regexp_extract_all(code, '(?m)^(?:from[ \t]+\.*[\w.]*[ \t]+import\b|import[ \t]+[\w.]+[ \t]*(?:,|;|#|$))'), lambda x: regexp_extract(x, '^(?:from|import)[ \t]+([\w.]+)', 1))
+            when ext in ('js', 'ts') then regexp_extract_all(code, '(?m)^import\b[^''";()]*[''"]([^''"]+)[''"]', 1)
+            when ext = 'java' then regexp_extract_all(code, '(?m)^import[ \t]+(?:static[ \t]+)?([\w.]+?)(?:\.\*)?[ \t]*;', 1)
+            when ext = 'rs' then list_transform(regexp_extract_all(code, '(?m)^use[ \t]+([^;]+);', 1), lambda x: regexp_replace(x, '\s+', ' ', 'g'))
+            when ext = 'go' then flatten(list_transform(regexp_extract_all(code, '(?m)^import[ \t]*(?:\([^)]*\)|(?:[\w.]+[ \t]+)?"[^"\n]+")'), lambda x: regexp_extract_all(x, '"([^"\n]+)"', 1)))
+            else regexp_extract_all(code, '(?m)^#[ \t]*include[ \t]*[<"]([^>"]+)[>"]', 1) end raws from n)
+        select repo_name, repo_path src, unnest(range(len(raws)))::int ord, unnest(raws) raw from r""",
     "grounding_totals": rf"""with {_PAIRS}, t as (select id, coalesce(nullif(question_type, ''), 'none') as level, question, answer from pairs where answer is not null),
         q as (select id, trim(regexp_replace(x, '^\s+|\s+$', '', 'g'), '()@,.:;* ') x from (select id, unnest(regexp_extract_all(answer, '`([^`]+)`', 1)) x from t)
             union select id, regexp_extract(x, '^[A-Za-z_][A-Za-z0-9_]*') from (select id, unnest(regexp_extract_all(answer, '\b[A-Za-z_][A-Za-z0-9_]+\(\)')) x from t)),
